@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import fingerprints, html_extract, mixing, quality_rules, secret_scans, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op4_html_extraction": html_extract.op4_html_extraction,
+    "op5_secret_scans": secret_scans.op5_secret_scans,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op5_secret_scans": secret_scans.ORACLE_SQL,
+    "op8_quality_rules": quality_rules.ORACLE_SQL,
 }
