@@ -250,7 +250,10 @@ def later_occurrences(items: DataFrame, name: str) -> DataFrame:
         # a group that fills the whole partition keeps its first place
         before = before if joined and (t.k1, t.k2) == (h.k1, h.k2) else (t.k1, t.k2, t.sd, t.sp)
     out = late
-    if fixed:
+    if fixed:  # a row a partition at most; what points at a partition's first row points at the group's
+        moved = spark.createDataFrame([(d, p, sd, sp) for d, p, sd, sp in fixed], "_d long, _p int, _sd long, _sp int")
+        here = (F.col("sd") == F.col("_d")) & (F.col("sp") == F.col("_p"))
+        late = late.join(F.broadcast(moved), here, "left").select("d", "pos", F.coalesce("_sd", "sd").alias("sd"), F.coalesce("_sp", "sp").alias("sp"))
         out = late.unionByName(spark.createDataFrame(fixed, late.schema))
     out._staged_path = found._staged_path
     return out
