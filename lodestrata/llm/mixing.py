@@ -107,8 +107,8 @@ def pivotal(units: DataFrame, n_rows: int) -> DataFrame:
     return out
 
 
-def copies(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs: doc_id, source, text. One row a row of docs: doc_id, source, size, source_size, target, copies int."""
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """docs: doc_id, source, text. One row a different (id, source, size): with source_size, target, copies int and m, the rows that are alike."""
     rows = staged(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), _size().alias("size")).groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("m")), "op9_rows")
     targets = staged(source_targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), weights, share, most), "op9_targets")
     n = rows.count()
@@ -118,11 +118,19 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2
     units = wanted.select("id", "source", "size", F.greatest(F.col("x") - whole, F.lit(0.0)).alias("p")).where("p > 1e-12")
     ups = pivotal(units, n).select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "up")
     same = F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
-    out = wanted.join(ups, same, "left")
     taken = (whole + F.coalesce(F.col("up"), F.lit(0))).cast("int")
-    return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", taken.alias("copies"), F.explode(F.sequence(F.lit(1), F.col("m"))).alias("_m")).drop("_m")
+    return wanted.join(ups, same, "left").select("id", "source", "size", "source_size", "target", taken.alias("copies"), "m")
+
+
+def mix_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    planned = staged(plan(docs).where("copies > 0").select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__c")), "op9_plan")
+    sized = docs.withColumn("__size", _size())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
+    return sized.join(planned, same).withColumn("__n", F.explode(F.sequence(F.lit(1), "__c"))).select(docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    mixed = plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = mixed.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

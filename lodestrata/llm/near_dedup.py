@@ -343,11 +343,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, one document of each class: that of the least doc_id (of rows that share it, the first by text)."""
-    dropped = staged(near_classes(docs).where("d <> class_id").select(F.col("d").alias("_d")), "op2_dropped")
-    keyed = docs.withColumn("_d", _key())
-    left = keyed.join(dropped, "_d", "left_anti")
-    first = F.row_number().over(Window.partitionBy("_d").orderBy("text"))
-    return left.withColumn("_n", first).where("_n = 1").select(docs.columns)
+    dropped = staged(near_classes(docs).where("d <> class_id").select(F.col("d").alias("__d")), "op2_dropped")
+    left = docs.withColumn("__d", _key()).join(dropped, "__d", "left_anti")
+    first = F.row_number().over(Window.partitionBy("__d").orderBy("text"))
+    return left.withColumn("__n", first).where("__n = 1").select(docs.columns)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Two generative models, bags of hashed n-grams with add-one smoothing, are fitted
 documents, the target one on labelled documents of quality 1 (a hashed sample of FIT_ROWS labelled rows
 at most). N-grams are words and pairs of words, with those of their shapes (kind, case, length, whether
 the word repeats the one before). A document's log weight is the sum over its n-grams of the log ratio
-of target to raw. Gumbel noise from a hash of doc_id is added, and the k largest are kept: sampling
+of target to raw, its own n-grams being left out of the counts of both, so documents of the fitting
+sample and others are weighed alike. Gumbel noise from a hash of doc_id is added, and the k largest are kept: sampling
 without replacement in proportion to the weights. Unless k is given it is the number of documents that
 the target is expected to have among them: the sum of min(1, share * weight), where share is that of
 quality 1 among the labels.
@@ -27,9 +28,12 @@ from pyspark.sql import types as T
 
 from .common import NULL_KEY, hash_spans, mix, staged, table, text_slices
 
-BUCKETS = 1 << 16
+#: A quarter for each kind of n-gram. Few enough that no group of copies rules a bucket.
+BITS = 14
+BUCKETS = 1 << BITS
 FIT_ROWS = 20_000
 SEED = 7
+SMOOTHING = 1.0
 
 _CLASS = np.full(256, 2, np.uint8)  # 0 space, 1 word, 2 sign
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -66,7 +70,8 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         shape_before = np.concatenate(([np.uint64(0)], shape[:-1]))
         grams = [mix(h + np.uint64(1)), mix(h * np.uint64(3) + before)[mate], mix(shape + np.uint64(2)), mix(shape * np.uint64(5) + shape_before)[mate]]
     rows = [row, row[mate], row, row[mate]]
-    return np.concatenate(rows), (np.concatenate(grams) >> np.uint64(48)).astype(np.int64)
+    buckets = [(g >> np.uint64(66 - BITS)).astype(np.int64) + (n << (BITS - 2)) for n, g in enumerate(grams)]
+    return np.concatenate(rows), np.concatenate(buckets)
 
 
 def _count_rows(target: np.ndarray):
@@ -75,7 +80,7 @@ def _count_rows(target: np.ndarray):
     def run(batches):
         raw, aim, seen = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            ids = b.column("d").to_numpy(zero_copy_only=False)
+            ids = b.column("__d").to_numpy(zero_copy_only=False)
             wanted = np.isin(ids, target)
             seen += int(wanted.sum())
             for i, j, data, offs in text_slices(b.column("text")):
@@ -93,14 +98,25 @@ def _count_rows(target: np.ndarray):
 
 
 class Model:
-    """Log ratios of the n-gram buckets, and the share of the target among labelled rows."""
+    """Counts of the n-gram buckets in raw and target text, the target's doc_ids and its share among labelled rows."""
 
-    def __init__(self, ratio: np.ndarray, share: float, fitted: bool):
-        self.ratio, self.share, self.fitted = ratio, share, fitted
+    def __init__(self, raw: np.ndarray, aim: np.ndarray, target: np.ndarray, share: float, fitted: bool):
+        self.raw, self.aim, self.target, self.share, self.fitted = raw, aim, target, share, fitted
+        self.scale = aim.sum() / max(1.0, raw.sum())
+
+    def log_ratios(self, row: np.ndarray, bucket: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+        """The log weight of each row: sampled says which rows are in the target's sample."""
+        if not self.fitted:
+            return np.zeros(len(sampled))
+        both, own = np.unique(row * BUCKETS + bucket, return_counts=True)
+        r, b = both // BUCKETS, both % BUCKETS
+        aim = np.maximum(self.aim[b] - own * sampled[r], 0.0)
+        expected = np.maximum(self.raw[b] - own, 0.0) * self.scale
+        return np.bincount(r, weights=own * np.log((aim + SMOOTHING) / (expected + SMOOTHING)), minlength=len(sampled))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)))
+    return docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -108,14 +124,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(fit_rows).collect()  # fit_rows rows at most
     target = np.array(sorted(r.doc_id for r in sample if r.quality == 1), np.int64)
     share = len(target) / len(sample) if sample else 1.0
-    counts = _keyed(docs.select("doc_id", "text")).select("d", "text").mapInArrow(_count_rows(target), "bucket int, raw long, target long, target_docs long")
-    raw, aim, seen = np.ones(BUCKETS), np.ones(BUCKETS), 0
+    counts = _keyed(docs.select("doc_id", "text")).select("__d", "text").mapInArrow(_count_rows(target), "bucket int, raw long, target long, target_docs long")
+    raw, aim, seen = np.zeros(BUCKETS), np.zeros(BUCKETS), 0
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"), F.sum("target_docs").alias("docs")).collect():  # BUCKETS rows at most
         raw[r.bucket] += r.raw
         aim[r.bucket] += r.target
         seen += r.docs
-    ratio = np.log(aim / aim.sum()) - np.log(raw / raw.sum())
-    return Model(ratio if seen else np.zeros(BUCKETS), share, bool(seen))
+    return Model(raw, aim, target, share, bool(seen))
 
 
 def gumbel(ids: np.ndarray) -> np.ndarray:
@@ -130,26 +145,25 @@ def _ordered_bits(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
 
 
-def _score_rows(model: Model):
+def _score_rows(model: Model, names: tuple[str, str]):
     def run(batches):
         for b in batches:
-            ids = b.column("d").to_numpy(zero_copy_only=False)
+            ids = b.column("__d").to_numpy(zero_copy_only=False)
             total = np.zeros(b.num_rows)
+            sampled = np.isin(ids, model.target)
             for i, j, data, offs in text_slices(b.column("text")):
-                row, bucket = features(data, offs)
-                total[i:j] = np.bincount(row, weights=model.ratio[bucket], minlength=j - i)
+                total[i:j] = model.log_ratios(*features(data, offs), sampled[i:j])
             key = _ordered_bits(total + gumbel(ids))
-            names = [n for n in b.schema.names if n != "d"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(total), pa.array(key)], names=[*names, "log_ratio", "sample_key"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(total), pa.array(key)], names=[*b.schema.names[:-1], *names])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows with log_ratio and sample_key (Gumbel-perturbed, as an ordered integer)."""
-    docs = docs.drop("log_ratio", "sample_key", "d")
-    schema = T.StructType([*docs.schema.fields, T.StructField("log_ratio", T.DoubleType()), T.StructField("sample_key", T.LongType())])
-    return _keyed(docs).mapInArrow(_score_rows(model), schema)
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("log_ratio", "sample_key")) -> DataFrame:
+    """The rows with the log weight and the key (Gumbel-perturbed, as an ordered integer); columns of those names are replaced."""
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.LongType())])
+    return _keyed(docs).mapInArrow(_score_rows(model, names), schema)
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
@@ -185,7 +199,7 @@ def keep_target(docs: DataFrame, labels: DataFrame, k: int | None = None) -> Dat
     least = threshold(staged(score(docs.select("doc_id", "text"), model).select("log_ratio", "sample_key"), "op7_scores"), model, k)
     if least is None:
         return docs
-    return score(docs, model).where(F.col("sample_key") >= least).select(docs.columns)
+    return score(docs, model, ("__log_ratio", "__sample_key")).where(F.col("__sample_key") >= least).select(docs.columns)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

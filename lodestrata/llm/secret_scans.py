@@ -90,29 +90,32 @@ def _high_entropy(c: Column) -> Column:
     return F.when(shaped, window_sum(c) <= limit).otherwise(F.lit(False))
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """Adds `assigns`, `accesses`, `hexes`, `entropies`: arrays of struct(start, end) in code points, end exclusive."""
+NAMES = ("assigns", "accesses", "hexes", "entropies")
+
+
+def find_secrets(docs: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """Adds an array of struct(start, end) for each kind, in code points, end exclusive; columns of those names are replaced."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.withColumns(
         {
-            "assigns": _matches(text, ASSIGN, lambda hit, own: F.length(own) >= 6, 2),
-            "accesses": _matches(text, ACCESS.replace("+", "{16,}"), lambda hit, own: F.length(hit) >= 20),
-            "hexes": _matches(text, HEX.replace("+", "{24,}"), lambda hit, own: F.length(hit) >= 24),
-            "_high": _matches(text, CANDIDATE, lambda hit, own: _high_entropy(hit)),
+            names[0]: _matches(text, ASSIGN, lambda hit, own: F.length(own) >= 6, 2),
+            names[1]: _matches(text, ACCESS.replace("+", "{16,}"), lambda hit, own: F.length(hit) >= 20),
+            names[2]: _matches(text, HEX.replace("+", "{24,}"), lambda hit, own: F.length(hit) >= 24),
+            names[3]: _matches(text, CANDIDATE, lambda hit, own: _high_entropy(hit)),
         }
     )
-    known = F.concat("assigns", "accesses", "hexes")
-    clear = F.filter("_high", lambda e: ~F.exists(known, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return base.withColumn("entropies", F.when(F.size("_high") > 0, clear).otherwise(F.col("_high"))).drop("_high")
+    known = F.concat(*names[:3])
+    clear = F.filter(names[3], lambda e: ~F.exists(known, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    return base.withColumn(names[3], F.when(F.size(names[3]) > 0, clear).otherwise(F.col(names[3])))
 
 
-def _ordered(kinds) -> Column:
-    rank = {"assign": "assigns", "access": "accesses", "hex": "hexes", "entropy": "entropies"}
+def _ordered(names: tuple[str, ...]) -> Column:
+    """All spans by start, then by kind."""
 
     def named(n: int) -> Column:
-        return F.transform(rank[KINDS[n]], lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["end"].alias("end")))
+        return F.transform(names[n], lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["end"].alias("end")))
 
-    return F.array_sort(F.concat(*[named(n) for n, k in enumerate(KINDS) if k in kinds]))
+    return F.array_sort(F.concat(*[named(n) for n in range(len(names))]))
 
 
 def _said(spans: Column) -> Column:
@@ -122,21 +125,22 @@ def _said(spans: Column) -> Column:
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows with every span of the text replaced by a mark; overlapping spans make one; other columns stay, a null text stays null."""
-    found = find_secrets(docs).withColumn("_spans", _ordered(KINDS))
+    own = tuple(f"__{n}" for n in NAMES)
+    found = find_secrets(docs, own).withColumn("__spans", _ordered(own))
 
     def step(acc, s):
         fresh = s["start"] >= acc["pos"]
         out = F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["pos"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))).select(docs.columns)
+    done = F.aggregate("__spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["pos"] + 1, F.length("text"))))
+    return found.withColumn("text", F.when(F.size("__spans") > 0, done).otherwise(F.col("text"))).select(docs.columns)
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = lambda c: F.size(c).cast("long")
-    return found.select("doc_id", size("assigns").alias("n_assign"), size("accesses").alias("n_access"), size("hexes").alias("n_hex"), F.sha2(_said(_ordered(KINDS[:3])), 256).alias("base_sha256"), _said(_ordered(KINDS)).alias("spans"))
+    return found.select("doc_id", size("assigns").alias("n_assign"), size("accesses").alias("n_access"), size("hexes").alias("n_hex"), F.sha2(_said(_ordered(NAMES[:3])), 256).alias("base_sha256"), _said(_ordered(NAMES)).alias("spans"))
 
 
 def _sql_matches(pattern: str, keep: str, group: int = 0) -> str:

@@ -1,8 +1,10 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
-Features are the hashed lower-case words that a text has (each counts once). A logistic regression with
-an L1 and an L2 penalty is fitted on labelled rows whose crc32(doc_id as text) mod 5 is not 0: a hashed
-sample of FIT_ROWS rows at most, of texts up to FIT_CHARS characters. For each such text that names a group of IDENTITY_TERMS, the
+Features are the hashed lower-case words that a text has and the first bytes of longer words (each
+counts once). A logistic regression with an L1 and an L2 penalty is fitted on labelled rows whose
+crc32(doc_id as text) mod 5 is not 0: a hashed sample of FIT_ROWS rows at most, of texts up to
+FIT_CHARS characters; features whose share of toxic texts is within LEAST_Z deviations of the mean
+are left out. For each such text that names a group of IDENTITY_TERMS, the
 term is swapped for the others of its kind and the squared change of the score (in logits) is penalised,
 so that naming a group does not raise a score by itself.
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_spans, table, text_slices
+from .common import hash_spans, mix, table, text_slices
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -30,6 +32,9 @@ FIT_ROWS = 20_000
 FIT_CHARS = 200_000
 #: Texts of the sample that a word must stand in.
 LEAST_DF = 3
+LEAST_Z = 2.0
+#: Bytes of the beginnings of words that are features too.
+PREFIXES = (5, 7)
 L1, L2, COUNTERFACTUAL, STEPS = 2e-4, 1e-5, 1.0, 400
 
 #: Groups that are named in neutral sentences; terms of one row are swapped for each other.
@@ -65,14 +70,21 @@ def word_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     begin[1:] &= ~solid[:-1] | edge[1:-1]
     end[:-1] &= ~solid[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    bucket = (hash_spans(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
-    both = np.unique((np.searchsorted(offs, starts, "right") - 1) * BUCKETS + bucket)
+    row = np.searchsorted(offs, starts, "right") - 1
+    shift, both = np.uint64(64 - BITS), []
+    for n, cut in enumerate((0, *PREFIXES)):
+        at = np.flatnonzero(ends - starts > cut)
+        to = ends[at] if not cut else starts[at] + cut
+        h = hash_spans(data, starts[at], to)
+        both.append(row[at] * BUCKETS + ((h if not cut else mix(h + np.uint64(n))) >> shift).astype(np.int64))
+    both = np.unique(np.concatenate(both))
     return both >> BITS, both & (BUCKETS - 1)
 
 
 def bucket_of(word: str) -> int:
+    """The feature of a whole word."""
     raw = np.frombuffer(word.lower().encode(), np.uint8)
-    return int(word_buckets(raw, np.array([0, len(raw)], np.int64))[1][0])
+    return int(hash_spans(raw, np.array([0]), np.array([len(raw)]))[0] >> np.uint64(64 - BITS))
 
 
 def _lower(col) -> pa.Array:
@@ -118,18 +130,22 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS) -> Mo
     share = float(toxic.mean()) if n else 0.0
     if not 0.0 < share < 1.0:
         return Model(np.zeros(BUCKETS), 500.0 if share else -500.0)
-    bucket = np.concatenate(rows).astype(np.int64)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    df = np.bincount(bucket, minlength=BUCKETS)
+    df, hits = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for r, label in zip(rows, toxic, strict=True):
+        df[r] += 1
+        if label:
+            hits[r] += 1
     groups = [[bucket_of(t) for t in g] for g in terms]
-    keep = df >= LEAST_DF
+    keep = (df >= LEAST_DF) & (np.abs(hits - df * share) >= LEAST_Z * np.sqrt(np.maximum(df, 1) * share * (1 - share)))
     for g in groups:
         keep[g] = True
+    chosen = [r[keep[r]] for r in rows]
+    bucket = np.concatenate(chosen).astype(np.int64)
+    row = np.repeat(np.arange(n), [len(r) for r in chosen])
     known = np.flatnonzero(keep)
     place = np.full(BUCKETS, -1)
     place[known] = np.arange(len(known))
-    ok = keep[bucket]
-    row, col = row[ok], place[bucket[ok]]
+    col = place[bucket]
     # counterfactuals: how many texts have a term that is swapped for another, by pair of terms
     swaps = [(place[a], place[b], df[a] / n / (len(g) - 1)) for g in groups for a in g for b in g if a != b and df[a]]
     a, b, c = (np.array([s[i] for s in swaps]) for i in range(3)) if swaps else (np.empty(0, int), np.empty(0, int), np.empty(0))
