@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from . import retrieval
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (retrieval,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
 
-
-def FLAGSHIP(spark, sf_dir):
-    return QUERIES["ranked_search"](spark, sf_dir)
+FLAGSHIP = retrieval.ranked_search
