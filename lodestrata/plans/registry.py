@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import analytics, retrieval, stateful
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval,):
+for _module in (retrieval, analytics, stateful):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 
