@@ -21,12 +21,15 @@ NULL_KEY = (1 << 63) - 1
 SLICE_BYTES = 1 << 20
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one is set only where none is given."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="staged_")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="staged_")
+        _OWN[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 

@@ -121,7 +121,8 @@ class Model:
         self.weights, self.bias = weights, bias
 
     def score(self, total: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(total + self.bias, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-(total + self.bias)))
 
 
 def train(rows: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS) -> Model:
@@ -129,7 +130,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS) -> Mo
     n = len(rows)
     share = float(toxic.mean()) if n else 0.0
     if not 0.0 < share < 1.0:
-        return Model(np.zeros(BUCKETS), 500.0 if share else -500.0)
+        return Model(np.zeros(BUCKETS), np.inf if share else -np.inf)
     df, hits = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r, label in zip(rows, toxic, strict=True):
         df[r] += 1
