@@ -36,7 +36,7 @@ def fuse(docs: DataFrame, formulations: list[str], courts: list[str], *, key="do
     found = occurrences(retrieve(docs, formulations, courts, key=key, court=court, text=text, most=per_task), key, "formulation", "position", "task_order")
     rows = scored(docs.select(key, F.col(court).alias("court"), F.col(text).alias("text")).join(found, key), formulations).drop("text")
     placed = ordered(rows, "court", "first_order")
-    return cut(placed, "place", "court", most, each)
+    return cut(placed, "court", "place", most, each)
 
 
 def coverage(all_tasks: DataFrame, outcomes: DataFrame, hits: DataFrame, shown: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def reserved(items: DataFrame, court: str, place: str, most: int, each: int = 3,
     return kept.withColumn("_show", F.col("_r") | (rest <= free)).where("_show").drop("_r", "_show")
 
 
-def cut(items: DataFrame, place: str, court: str, most: int, each: int = 3) -> DataFrame:
+def cut(items: DataFrame, court: str, place: str, most: int, each: int = 3) -> DataFrame:
     """`reserved` at scale: only rows that can be shown are ranked together (the first `most` and each court's first `each` of the top band)."""
     nth = F.row_number().over(Window.partitionBy(court).orderBy(F.col("band") != 0, place))
     able = items.withColumn("_n", nth).where((F.col("_n") <= each) & (F.col("band") == 0)).drop("_n").unionByName(items.orderBy(place).limit(most)).dropDuplicates([place])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import analytics, retrieval, stateful
+from . import analytics, retrieval, stateful, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, analytics, stateful):
+for _module in (retrieval, analytics, stateful, texts):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 
