@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +68,11 @@ def normalise_plain(text: str) -> str:
     return re.sub(r"\s+", " ", fold_plain(text)).strip()
 
 
+def once(value: Column, condition) -> Column:
+    """condition(value) with the value computed once, even where the optimiser would copy its expression into a filter."""
+    return F.exists(F.array(value), condition)
+
+
 @dataclass(frozen=True)
 class Stem:
     """One word of a formulation: a text has it if the pattern is found. re2 is the same without look-around."""
@@ -74,6 +80,11 @@ class Stem:
     key: str
     java: str
     re2: str
+    roots: tuple[str, ...]
+
+    def within(self, folded: Column) -> Column:
+        """Whether a folded text has the word; the plain search that the pattern implies goes first."""
+        return reduce(lambda a, b: a | b, (folded.contains(r) for r in self.roots)) & folded.rlike(self.java)
 
 
 def stems(formulation: str) -> list[Stem]:
@@ -88,19 +99,19 @@ def stems(formulation: str) -> list[Stem]:
             continue
         if len(w) < STEM:
             key = w[:-1] if len(w) > 3 and w.endswith("s") else w
-            body, after = f"{key}s?", True
+            roots, body, after = [key], f"{key}s?", True
         else:
             key = w[:STEM]
             roots = [key] + ([w[2 : 2 + STEM]] if re.match("i[mn]", w) and len(w) >= STEM + 2 else [])
             body, after = f"(?:i[mn])?(?:{'|'.join(roots)})", False
         start = "(?:^|[^a-z0-9])"
-        out.setdefault(key, Stem(key, start + body + ("(?![a-z0-9])" if after else ""), start + body + ("(?:[^a-z0-9]|$)" if after else "")))
+        out.setdefault(key, Stem(key, start + body + ("(?![a-z0-9])" if after else ""), start + body + ("(?:[^a-z0-9]|$)" if after else ""), tuple(roots)))
     return list(out.values())
 
 
 def adherence(folded: Column, formulations: list[str]) -> Column:
     """Best share, over the formulations, of a formulation's stems that a folded text has."""
-    shares = [sum((folded.rlike(s.java).cast("int") for s in known), F.lit(0)) / F.lit(len(known)) for known in map(stems, formulations) if known]
+    shares = [sum((s.within(folded).cast("int") for s in known), F.lit(0)) / F.lit(len(known)) for known in map(stems, formulations) if known]
     if not shares:
         return F.lit(0.0)
     return F.greatest(*shares) if len(shares) > 1 else shares[0]

@@ -20,9 +20,10 @@ def equivalents(rows: DataFrame, *, key: str, court: str, date: str, text: str,
     A null date or an empty summary never makes rows equal. The most complete copy stands for the
     decision (number, then body, then link, then best position).
     """
-    summary = summary_key(F.col(text))
+    rows = rows.withColumn("_summary", summary_key(F.col(text)))
+    rows = rows.withColumn("_summary", F.when(F.col("_summary") != "", F.sha2("_summary", 256))).drop(text)
     alone = F.concat(F.lit("alone:"), F.col(key).cast("string"))
-    group = F.when(F.col(date).isNotNull() & (F.coalesce(summary, F.lit("")) != ""), F.concat_ws("|", F.col(court), F.col(date), F.sha2(summary, 256))).otherwise(alone)
+    group = F.when(F.col(date).isNotNull() & F.col("_summary").isNotNull(), F.concat_ws("|", F.col(court), F.col(date), F.col("_summary"))).otherwise(alone)
     if document is not None:
         group = F.when(document.isNotNull(), F.concat_ws("|", F.col(court), F.lit("document"), document)).otherwise(group)
     own = F.when(F.coalesce(digits(F.col(number)), F.lit("")) != "", digits(F.col(number)))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import expression, fold, fold_plain, normalise, normalise_plain
+from ..functions.text import expression, fold, fold_plain, normalise, normalise_plain, once
 
 
 def read_terms(value, groups: bool):
@@ -36,10 +36,13 @@ def passes(text: Column, must: list[list[str]] = (), must_not: list[str] = ()) -
     """
     if not must and not must_not:
         return None
-    normal = normalise(text)
-    has = lambda t: normal.contains(normalise_plain(t)) & normal.rlike(expression(t))
-    parts = [reduce(lambda a, b: a | b, map(has, group)) for group in must] + [~has(t) for t in must_not]
-    return reduce(lambda a, b: a & b, parts)
+
+    def holds(normal: Column) -> Column:
+        has = lambda t: normal.contains(normalise_plain(t)) & normal.rlike(expression(t))
+        parts = [reduce(lambda a, b: a | b, map(has, group)) for group in must] + [~has(t) for t in must_not]
+        return reduce(lambda a, b: a & b, parts)
+
+    return once(normalise(text), holds)
 
 
 def split_by_filter(items: DataFrame, text: str, must=(), must_not=()) -> DataFrame:

@@ -24,7 +24,7 @@ def tasks(spark, formulations: list[str], courts: list[str]) -> DataFrame:
 def retrieve(docs: DataFrame, formulations: list[str], courts: list[str], *, key: str, court: str, text: str, most: int) -> DataFrame:
     """What each task finds: its `most` best rows, by stems matched, then key. One scan for all tasks."""
     folded = docs.where(F.col(court).isin(courts)).withColumn("_folded", fold(F.col(text)))
-    counts = [F.struct(F.lit(n).alias("formulation"), sum((F.col("_folded").rlike(s.java).cast("int") for s in stems(f)), F.lit(0)).alias("matched")) for n, f in enumerate(formulations)]
+    counts = [F.struct(F.lit(n).alias("formulation"), sum((s.within(F.col("_folded")).cast("int") for s in stems(f)), F.lit(0)).alias("matched")) for n, f in enumerate(formulations)]
     hits = folded.select(F.col(key), F.col(court).alias("court"), F.inline(F.array(*counts))).where("matched > 0")
     position = F.row_number().over(Window.partitionBy("formulation", "court").orderBy(F.col("matched").desc(), F.col(key).asc())) - 1
     order = F.element_at(F.create_map(*[x for n, c in enumerate(courts) for x in (F.lit(c), F.lit(n))]), F.col("court")) * len(formulations) + F.col("formulation")

@@ -8,11 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import expression, fold, fold_plain, normalise, normalise_plain
-
-#: A gap and the word after it, of normalised text.
-PAIR = r"([^\p{L}\p{N}]*)([\p{L}\p{N}]+)"
-
+from ..functions.text import expression, fold, fold_plain, normalise, normalise_plain, once
 
 def read_query(query: str) -> list[str]:
     """Words and "phrases" of a query."""
@@ -31,17 +27,16 @@ def term_words(term: str) -> tuple[list[str], list[int], bool]:
 
 
 def build_index(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The index: term, key, positions (array, ascending). Positions are summed inside a document's own array."""
-    normal = normalise(F.col(text))
-    words = F.regexp_extract_all(normal, F.lit(PAIR), F.lit(2))
-    steps = F.transform(F.regexp_extract_all(normal, F.lit(PAIR), F.lit(1)), lambda g, i: F.when(i == 0, 0).when(g == " ", 1).otherwise(2))
-    staged = docs.select(key, *keep, words.alias("_w"), steps.alias("_s"))
-    # a position is the word's number plus how many wider gaps stand before it
-    wide = F.filter(F.transform("_s", lambda s, i: F.when(s == 2, i)), lambda i: i.isNotNull())
-    few = staged.select(key, *keep, "_w", wide.alias("_wide"))
-    flat = few.select(key, *keep, "_wide", F.posexplode("_w").alias("n", "term"))
-    position = F.col("n") + F.size(F.filter("_wide", lambda i: i <= F.col("n")))
-    return flat.select(key, *keep, "term", position.cast("int").alias("position")).groupBy("term", key, *keep).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    """The index: term, key, positions (array, ascending). One space moves a position by 1, any other gap by 2.
+
+    A text is cut at its wide gaps; a word's position is its number plus how many cuts stand before it.
+    """
+    core = F.regexp_replace(normalise(F.col(text)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    parts = F.split(core, r"(?! [\p{L}\p{N}])[^\p{L}\p{N}]+")
+    words = F.flatten(F.transform(parts, lambda part, i: F.transform(F.split(part, " "), lambda w: F.struct(w.alias("term"), i.alias("cut")))))
+    flat = docs.select(key, *keep, F.posexplode(words).alias("n", "w")).where("w.term <> ''")
+    placed = flat.select(key, *keep, F.col("w.term").alias("term"), (F.col("n") + F.col("w.cut")).alias("position"))
+    return placed.groupBy("term", key, *keep).agg(F.array_sort(F.collect_list("position")).alias("positions"))
 
 
 def vocabulary(index: DataFrame) -> DataFrame:
@@ -76,11 +71,11 @@ def search_index(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
 
 def search_scan(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """Rows whose text has every term; plain conditions first, then the patterns."""
-    normal = normalise(F.col(text))
-    out = docs
-    for t in terms:
-        out = out.where(normal.contains(normalise_plain(t)) & normal.rlike(expression(t)))
-    return out
+
+    def holds(normal: Column) -> Column:
+        return reduce(lambda a, b: a & b, (normal.contains(normalise_plain(t)) & normal.rlike(expression(t)) for t in terms))
+
+    return docs.where(once(normalise(F.col(text)), holds)) if terms else docs
 
 
 def context(text: Column, term: str, around: int = 100) -> Column:
