@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import analytics, retrieval, stateful, texts
+from . import analytics, details, retrieval, stateful, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, analytics, stateful, texts):
+for _module in (retrieval, analytics, stateful, texts, details):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 
