@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from pyspark.sql import types as T
 from .common import table
 
 MARK = "▁"
-#: Units that the cache holds; it is emptied when full.
-CACHE = 200_000
+#: Units that each of the cache's two generations holds.
+CACHE = 120_000
+#: Units up to this length are solved as one window; longer ones stream.
+WINDOW = 64
 #: What a character without a piece costs beyond the least score.
 UNKNOWN = 10.0
 
@@ -69,6 +72,12 @@ class Vocabulary:
         for p in self.pieces:
             self.reach[p[0]] = max(self.reach.get(p[0], 1), len(p))
         self.longest = max(map(len, self.pieces), default=1)
+        #: (score, id) of pieces, None for what only begins one.
+        self.table: dict[str, tuple[float, int] | None] = {}
+        for p in self.pieces:
+            for n in range(1, len(p)):
+                self.table.setdefault(p[:n], None)
+        self.table |= self.pieces
         #: No piece goes on with a word mark after another character, nor over a line feed.
         self.cuts = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.pieces)
 
@@ -135,6 +144,34 @@ def viterbi(chars: Iterable[str], v: Vocabulary) -> Iterator[int]:
                 back = [(-1, -1)] + [(b[0] - meet, b[1]) for b in back[meet + 1 :]]
 
 
+def window_ids(unit: str, v: Vocabulary) -> list[int]:
+    """The same ids for a text that is one window: its paths meet at its end and no earlier place is looked for."""
+    n, get = len(unit), v.table.get
+    best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
+    ids = [0] * (n + 1)
+    for s in range(n):
+        here, single = best[s], False
+        for e in range(s + 1, n + 1):
+            p = get(unit[s:e], 0)
+            if p == 0:
+                break
+            if p is not None:
+                single = single or e == s + 1
+                if here + p[0] > best[e]:
+                    best[e], back[e], ids[e] = here + p[0], s, p[1]
+        if not single and here + v.unknown > best[s + 1]:
+            best[s + 1], back[s + 1], ids[s + 1] = here + v.unknown, s, -1
+    out = []
+    while n:
+        if ids[n] >= 0:
+            out.append(ids[n])
+        else:
+            out.extend(v.bytes[b] for b in reversed(unit[back[n] : n].encode()))
+        n = back[n]
+    out.reverse()
+    return out
+
+
 class Codec:
     """Encodes whole texts; a cache of units keeps their ids as packed 32-bit numbers."""
 
@@ -145,12 +182,18 @@ class Codec:
         codec = self
 
         class Cache(dict):
+            old: dict = {}  # the generation before; what is met again moves on
+
             def __missing__(self, unit):
+                out = self.old.get(unit)
+                if out is None:
+                    if len(unit) > WINDOW:
+                        return np.fromiter(viterbi(unit, codec.v), np.int32).tobytes()
+                    out = pack("%di" % len(ids := window_ids(unit, codec.v)), *ids)
                 if len(self) >= CACHE:
+                    self.old = dict(self)
                     self.clear()
-                out = np.fromiter(viterbi(unit, codec.v), np.int32).tobytes()
-                if len(unit) <= 64:
-                    self[unit] = out
+                self[unit] = out
                 return out
 
         self.cache = Cache()
