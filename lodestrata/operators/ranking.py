@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.staging import ensure_checkpoints
 from ..functions.text import adherence, fold
 
 #: Floors of the adherence bands, from the top; what is below the last is the rest.
@@ -25,16 +26,34 @@ def scored(items: DataFrame, formulations: list[str], text: str = "text", floors
     return items.withColumn("_folded", fold(F.col(text))).withColumn("adherence", adherence(F.col("_folded"), formulations)).drop("_folded").withColumn("band", band(F.col("adherence"), floors))
 
 
-def ordered(items: DataFrame, court: str, order: str, relevance: str | None = None, block: tuple[str, ...] = ("band", "n_formulations", "best_position")) -> DataFrame:
-    """Adds `place`: band up, formulations down, best position up; ties by `order`, a unique number.
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds `name`, the place of each row in the whole order, without one task for all rows.
+
+    Rows are range-sorted and cut by a checkpoint; a row's place is its number in its partition plus
+    the sizes of the partitions before (a row a partition goes to the driver).
+    """
+    ensure_checkpoints(rows.sparkSession)
+    sorted_ = rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    part, before, seen = F.shiftright("_m", 33), [], 0
+    for r in sorted_.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before += [F.lit(r["part"]).cast("long"), F.lit(seen).cast("long")]
+        seen += r["count"]
+    start = F.element_at(F.create_map(*before), part) if before else F.lit(0)
+    return sorted_.withColumn(name, (start + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_m")
+
+
+def ordered(items: DataFrame, court: str, order: str, relevance: str | None = None, block: tuple[str, ...] = ("band", "n_formulations", "best_position"), bounded: bool = True) -> DataFrame:
+    """Adds `place`; bounded says that the list is a bounded one (what the tasks of a search may return),
+    which one task orders; without it the order is distributed. The order: band up, formulations down, best position up; ties by `order`, a unique number.
 
     Among rows equal in the three, each court keeps the slots its rows hold and fills them by
     relevance, highest first (null and non-finite last). Slots and fillings are two window ranks over
     (tie block, court), joined on their number.
     """
     key = [F.col(block[0]).asc(), F.col(block[1]).desc(), F.col(block[2]).asc()]
+    place = lambda rows, last: rows.withColumn("place", F.row_number().over(Window.orderBy(*key, last))) if bounded else numbered(rows, [*key, last], "place")
     if relevance is None:
-        return items.withColumn("place", F.row_number().over(Window.orderBy(*key, F.col(order).asc())))
+        return place(items, F.col(order).asc())
     by = [F.col(c) for c in block]
     note = F.when(F.col(relevance).isNotNull() & ~F.isnan(relevance) & (F.abs(F.col(relevance)) < float("inf")), F.col(relevance))
     slot = F.row_number().over(Window.partitionBy(*by, court).orderBy(F.col(order).asc()))
@@ -43,7 +62,7 @@ def ordered(items: DataFrame, court: str, order: str, relevance: str | None = No
     slots = marked.select(*[F.col(c).alias(f"_{c}") for c in block], F.col(court).alias("_court"), "_slot", F.col(order).alias("_at"))
     same = [marked[c].eqNullSafe(slots[f"_{c}"]) for c in block] + [marked[court].eqNullSafe(slots["_court"]), marked["_want"] == slots["_slot"]]
     placed = marked.drop("_slot").join(slots, same).drop(*[f"_{c}" for c in block], "_court", "_slot", "_want")
-    return placed.withColumn("place", F.row_number().over(Window.orderBy(*key, F.col("_at").asc()))).drop("_at")
+    return place(placed, F.col("_at").asc()).drop("_at")
 
 
 def reserved(items: DataFrame, court: str, place: str, most: int, each: int = 3, top: Column | None = None) -> DataFrame:
@@ -66,7 +85,8 @@ def cut(items: DataFrame, court: str, place: str, most: int, each: int = 3) -> D
     return reserved(able, court, place, most, each)
 
 
-def by_date(items: DataFrame, date: str, order: str) -> DataFrame:
+def by_date(items: DataFrame, date: str, order: str, bounded: bool = True) -> DataFrame:
     """Adds `date_place`: oldest first, what has no YYYY-MM-DD date last, ties as they came."""
     day = F.when(F.substring(date, 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.substring(date, 1, 10))
-    return items.withColumn("date_place", F.row_number().over(Window.orderBy(day.asc_nulls_last(), F.col(order).asc())))
+    key = [day.asc_nulls_last(), F.col(order).asc()]
+    return items.withColumn("date_place", F.row_number().over(Window.orderBy(*key))) if bounded else numbered(items, key, "date_place")

@@ -210,7 +210,7 @@ def tie_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     c = F.col("o_custkey")
     rows = o.select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("court"), (c % 3).cast("int").alias("band"), (c % 4).cast("int").alias("n_formulations"), (c % 5).cast("int").alias("best_position"), F.when(F.col("o_orderkey") % 6 != 0, F.col("o_totalprice")).alias("rel"))
-    return ranking.ordered(rows, "court", "k", "rel").select("k", "place")
+    return ranking.ordered(rows, "court", "k", "rel", bounded=False).select("k", "place")
 
 
 @register("SELECT o_orderkey AS k, CAST(row_number() OVER (ORDER BY d NULLS LAST, o_orderkey) AS INTEGER) AS date_place, CAST(count(*) FILTER (WHERE d IS NULL) OVER () AS BIGINT) AS n_undated FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders)")
@@ -219,7 +219,7 @@ def date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     rows = o.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 9 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.lit("s/d")).alias("d"))
     n = rows.agg(F.count_if(F.col("d") == "s/d").alias("n_undated"))
-    return ranking.by_date(rows, "d", "k").select("k", "date_place").crossJoin(F.broadcast(n))
+    return ranking.by_date(rows, "d", "k", bounded=False).select("k", "date_place").crossJoin(F.broadcast(n))
 
 
 _POS = rf"""d AS (SELECT doc_id, {NORMAL} AS n FROM documents),
