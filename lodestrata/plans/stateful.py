@@ -55,15 +55,32 @@ def daily_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.civil_day(events(spark, sf_dir), "user_id", "ts", "event_id", 4).select("event_id", "decision")
 
 
-@register(f"""WITH RECURSIVE {_LOG}, r AS (SELECT user_id, event_id, rn, CASE WHEN oc = 'error' THEN ms + 60000 END AS til, CASE WHEN oc = 'error' THEN 1 ELSE 0 END AS op, CASE WHEN oc = 'error' THEN 'opened' ELSE 'sent' END AS decision FROM n WHERE rn = 1
+_BREAKER = f"""WITH RECURSIVE {_LOG}, r AS (SELECT user_id, event_id, rn, CASE WHEN oc = 'error' THEN ms + 60000 END AS til, CASE WHEN oc = 'error' THEN 1 ELSE 0 END AS op, CASE WHEN oc = 'error' THEN 'opened' ELSE 'sent' END AS decision FROM n WHERE rn = 1
 UNION ALL SELECT n.user_id, n.event_id, n.rn, CASE WHEN r.til IS NOT NULL AND n.ms < r.til THEN r.til WHEN oc = 'error' THEN n.ms + CAST(least(3600000, 60000 * pow(2, r.op)) AS BIGINT) END, CASE WHEN r.til IS NOT NULL AND n.ms < r.til THEN r.op WHEN oc = 'error' THEN r.op + 1 WHEN r.til IS NOT NULL THEN 0 ELSE r.op END,
-CASE WHEN r.til IS NOT NULL AND n.ms < r.til THEN 'paused' WHEN oc = 'error' THEN CASE WHEN r.til IS NOT NULL THEN 'probe_failed' ELSE 'opened' END WHEN r.til IS NOT NULL THEN 'closed' ELSE 'sent' END FROM r JOIN n ON n.user_id = r.user_id AND n.rn = r.rn + 1)
-SELECT user_id, event_id, decision FROM r""")
+CASE WHEN r.til IS NOT NULL AND n.ms < r.til THEN 'paused' WHEN oc = 'error' THEN CASE WHEN r.til IS NOT NULL THEN 'probe_failed' ELSE 'opened' END WHEN r.til IS NOT NULL THEN 'closed' ELSE 'sent' END FROM r JOIN n ON n.user_id = r.user_id AND n.rn = r.rn + 1)"""
+
+
+@register(_BREAKER + " SELECT user_id, event_id, decision FROM r")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubling pauses with one probe."""
     return limits.over_log(events(spark, sf_dir), "user_id", "ts", "event_id", "outcome", limits.breaker)
 
 
+@register(_BREAKER + """ SELECT r.user_id, count(*) AS n_calls, count(*) FILTER (WHERE decision IN ('sent', 'closed')) AS n_sent, count(*) FILTER (WHERE decision = 'paused') AS n_paused, count(*) FILTER (WHERE decision IN ('opened', 'probe_failed')) AS n_opened,
+max(ts) FILTER (WHERE decision IN ('sent', 'closed') AND event_type NOT IN ('error', 'signup')) AS last_success, max(ts) FILTER (WHERE event_type = 'error') AS last_refusal FROM r JOIN events e ON e.event_id = r.event_id GROUP BY r.user_id""")
+def limit_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each service."""
+    e = events(spark, sf_dir)
+    decided = limits.over_log(e, "user_id", "ts", "event_id", "outcome", limits.breaker)
+    return limits.diagnosis(decided.join(e.drop("user_id"), "event_id"), "user_id", "ts", "outcome")
+
+
+@register(f"""WITH RECURSIVE {_LOG}, r AS (SELECT user_id, event_id, rn, ms AS last, 'sent' AS decision FROM n WHERE rn = 1 UNION ALL SELECT n.user_id, n.event_id, n.rn, CASE WHEN n.ms - r.last < 3600000 THEN r.last ELSE n.ms END, CASE WHEN n.ms - r.last < 3600000 THEN 'waits' ELSE 'sent' END FROM r JOIN n ON n.user_id = r.user_id AND n.rn = r.rn + 1) SELECT user_id, event_id, decision FROM r""")
+def call_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An hour at least between two calls of a service."""
+    return limits.over_log(events(spark, sf_dir), "user_id", "ts", "event_id", "outcome", partial(limits.spacing, least=3_600_000))
+
+
 @register("WITH m AS (SELECT max(ts) AS now FROM events) SELECT user_id % 50 AS user_id, max(ts) AS ts FROM events, m WHERE ts > now - INTERVAL 24 HOUR AND ts <= now GROUP BY 1")
 def live_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest entry of each key within a day."""

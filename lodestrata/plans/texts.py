@@ -26,8 +26,9 @@ def register(sql: str | None = None):
 _SQUEEZED = r"trim(regexp_replace(nfc_normalize(text), '[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"
 
 
-@register(rf"""WITH b AS (SELECT item_id, {_SQUEEZED} AS c FROM benchmark), d AS (SELECT doc_id, {_SQUEEZED} AS t FROM documents)
-SELECT item_id, doc_id FROM b JOIN d ON contains(t, c) AND regexp_matches(t, '(?:^|[^\p{{L}}\p{{N}}])' || regexp_escape(c) || '(?:[^\p{{L}}\p{{N}}]|$)')""")
+@register(rf"""WITH b AS (SELECT item_id, {_SQUEEZED} AS c FROM benchmark), d AS (SELECT doc_id, {_SQUEEZED} AS t FROM documents),
+m AS MATERIALIZED (SELECT item_id, doc_id, c, t FROM b JOIN d ON contains(t, c))
+SELECT item_id, doc_id FROM m WHERE regexp_matches(t, '(?:^|[^\p{{L}}\p{{N}}])' || regexp_escape(c) || '(?:[^\p{{L}}\p{{N}}]|$)')""")
 def literal_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that stand in a text word for word; candidates by shared runs of words."""
     d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))

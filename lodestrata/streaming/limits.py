@@ -107,6 +107,30 @@ def breaker(state: tuple | None, at: int, outcome: str, generation: int | None =
     return ("closed", (None, 0, current + 1)) if probe else ("sent", (None, openings, current))
 
 
+SPACING_STATE = "last long"
+
+
+def spacing(state: tuple | None, at: int, outcome: str, least: int) -> tuple[str, tuple]:
+    """At least `least` milliseconds between two calls of a host."""
+    last = (state or (None,))[0]
+    if last is not None and at - last < least:
+        return "waits", (last,)
+    return "sent", (at,)
+
+
+def diagnosis(decided: DataFrame, by: str, at: str, outcome: str) -> DataFrame:
+    """One row a service: what its calls met, when it last succeeded and was last refused."""
+    sent = F.col("decision").isin("sent", "closed")
+    return decided.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_calls"),
+        F.count_if(sent).alias("n_sent"),
+        F.count_if(F.col("decision") == "paused").alias("n_paused"),
+        F.count_if(F.col("decision").isin("opened", "probe_failed")).alias("n_opened"),
+        F.max(F.when(sent & (F.col(outcome) == "accepted"), F.col(at))).alias("last_success"),
+        F.max(F.when(F.col(outcome) == "refused", F.col(at))).alias("last_refusal"),
+    )
+
+
 def over_log(events: DataFrame, by: str, at: str, order: str, outcome: str, rule: Callable) -> DataFrame:
     """rule(state, at_ms, outcome) over each service's rows in order: by, order, decision."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
