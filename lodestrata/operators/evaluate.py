@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranking import numbered, running
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -39,21 +40,23 @@ def confusion(rows: DataFrame, by: list[str], warned: str, true: str) -> DataFra
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Median, and 95th percentile by nearest rank, without gathering a group: ranks by window, two rows kept."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(value))
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, n.alias("n"), r.alias("r"))
-    middle = F.when((F.col("r") == F.floor((F.col("n") + 1) / 2)) | (F.col("r") == F.floor(F.col("n") / 2) + 1), F.col(value))
-    p95 = F.when(F.col("r") == F.ceil(F.col("n") * F.lit(95) / F.lit(100)), F.col(value))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.avg(middle).alias("median"), F.max(p95).alias("p95"))
+    """Median, and 95th percentile by nearest rank: rows are placed in one distributed order by (group, value), and
+    only the rows at the places that each group needs are looked up, so no task holds a group."""
+    placed = numbered(rows.where(F.col(value).isNotNull()).select(*by, value), [*[F.col(c).asc() for c in by], F.col(value).asc()], "_p")
+    groups = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_p").alias("_s"))
+    at = lambda rank, name: F.struct((F.col("_s") + rank - 1).cast("long").alias("_w"), F.lit(name).alias("_what"))
+    wanted = groups.select(*by, "n", F.inline(F.array(at(F.floor((F.col("n") + 1) / 2), "low"), at(F.floor(F.col("n") / 2) + 1, "high"), at(F.ceil(F.col("n") * F.lit(95) / F.lit(100)), "p95"))))
+    found = wanted.join(placed.select("_p", F.col(value).alias("_v")), F.col("_w") == F.col("_p"))
+    pick = lambda name: F.max(F.when(F.col("_what") == name, F.col("_v")))
+    return found.groupBy(*by).agg(F.max("n").alias("n"), ((pick("low") + pick("high")) / 2).alias("median"), pick("p95").alias("p95"))
 
 
 def mann_whitney(rows: DataFrame, side: str, value: str) -> DataFrame:
     """z of two samples (side is true or false), ties at their average rank. Ties are grouped first, so ranks run over values."""
     v = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
     t = F.col("a") + F.col("b")
-    before = F.coalesce(F.sum(t).over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = v.select("a", "b", t.alias("t"), (before + (t + 1) / 2).alias("rank"))
+    summed = running(v.withColumn("_t", t), [F.col(value).asc()], "_t", "_upto")
+    ranked = summed.select("a", "b", F.col("_t").alias("t"), (F.col("_upto") - F.col("_t") + (F.col("_t") + 1) / 2).alias("rank"))
     s = ranked.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum(F.col("a") * F.col("rank")).alias("ra"), F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties"))
     n = (F.col("na") + F.col("nb")).cast("double")
     u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2

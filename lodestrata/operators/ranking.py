@@ -39,7 +39,20 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
         before += [F.lit(r["part"]).cast("long"), F.lit(seen).cast("long")]
         seen += r["count"]
     start = F.element_at(F.create_map(*before), part) if before else F.lit(0)
-    return sorted_.withColumn(name, (start + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_m")
+    return sorted_.withColumn(name, (start + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_m")
+
+
+def running(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds `name`, the sum of `value` up to and with each row in the whole order; the same cut into partitions."""
+    ensure_checkpoints(rows.sparkSession)
+    sorted_ = rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    part, before, seen = F.shiftright("_m", 33), [], 0
+    for r in sorted_.groupBy(part.alias("part")).agg(F.sum(value).alias("s")).orderBy("part").collect():
+        before += [F.lit(r["part"]).cast("long"), F.lit(seen)]
+        seen += r["s"]
+    start = F.element_at(F.create_map(*before), F.col("_part")) if before else F.lit(0)
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0))
+    return sorted_.withColumn("_part", part).withColumn(name, start + within).drop("_m", "_part")
 
 
 def ordered(items: DataFrame, court: str, order: str, relevance: str | None = None, block: tuple[str, ...] = ("band", "n_formulations", "best_position"), bounded: bool = True) -> DataFrame:

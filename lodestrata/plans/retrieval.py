@@ -204,7 +204,7 @@ _TIES = "i AS (SELECT o_orderkey AS k, o_orderpriority AS court, CAST(o_custkey
 
 
 @register(f"""WITH {_TIES}, s AS (SELECT *, row_number() OVER (PARTITION BY band, n_formulations, best_position, court ORDER BY k) AS slot, row_number() OVER (PARTITION BY band, n_formulations, best_position, court ORDER BY rel DESC NULLS LAST, k) AS want FROM i)
-SELECT a.k AS k, CAST(row_number() OVER (ORDER BY a.band, a.n_formulations DESC, a.best_position, b.k) AS INTEGER) AS place FROM s a JOIN s b ON a.band = b.band AND a.n_formulations = b.n_formulations AND a.best_position = b.best_position AND a.court = b.court AND a.want = b.slot""")
+SELECT a.k AS k, row_number() OVER (ORDER BY a.band, a.n_formulations DESC, a.best_position, b.k) AS place FROM s a JOIN s b ON a.band = b.band AND a.n_formulations = b.n_formulations AND a.best_position = b.best_position AND a.court = b.court AND a.want = b.slot""")
 def tie_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In a tie each court keeps its slots and fills them by relevance."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -213,7 +213,7 @@ def tie_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ordered(rows, "court", "k", "rel", bounded=False).select("k", "place")
 
 
-@register("SELECT o_orderkey AS k, CAST(row_number() OVER (ORDER BY d NULLS LAST, o_orderkey) AS INTEGER) AS date_place, CAST(count(*) FILTER (WHERE d IS NULL) OVER () AS BIGINT) AS n_undated FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders)")
+@register("SELECT o_orderkey AS k, row_number() OVER (ORDER BY d NULLS LAST, o_orderkey) AS date_place, CAST(count(*) FILTER (WHERE d IS NULL) OVER () AS BIGINT) AS n_undated FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders)")
 def date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1: oldest first, undated last as they came, with their count."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
