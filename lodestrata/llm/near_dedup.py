@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 9, 3
 DF_BITS = 18
 #: Texts and words that a block of a component holds, about.
-BLOCK_DOCS, BLOCK_WORDS = 800, 600_000
+BLOCK_DOCS, BLOCK_WORDS = 400, 600_000
 
 _STEPS = 1 << 16
 
@@ -331,7 +331,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     sizes = staged(members.groupBy("comp").agg(F.greatest(F.ceil(F.count("d") / BLOCK_DOCS), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks")).select(F.col("comp").alias("_c"), "blocks"), "op2_sizes")
     placed = staged(members.join(sizes, F.col("comp") == F.col("_c")).select("d", "comp", "blocks", F.pmod(F.xxhash64("d"), "blocks").cast("int").alias("block")), "op2_placed")
     release(spark)
-    tokens = texts.join(placed, "d").select("d", "text", "comp", "blocks", "block").mapInArrow(_token_rows(shared), "d long, comp long, blocks int, block int, tokens binary, weights binary")
+    # one join strategy at every size: both sides by d
+    tokens = texts.hint("merge").join(placed, "d").select("d", "text", "comp", "blocks", "block").mapInArrow(_token_rows(shared), "d long, comp long, blocks int, block int, tokens binary, weights binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     dealt = tokens.select("d", "comp", "block", "tokens", "weights", F.explode(pairs).alias("p")).select("d", "comp", "block", "tokens", "weights", "p.i", "p.j")
     links = staged(dealt.repartition(n_parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verify_rows, "a long, b long"), "op2_links")
@@ -344,7 +345,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, one document of each class: that of the least doc_id (of rows that share it, the first by text)."""
     dropped = staged(near_classes(docs).where("d <> class_id").select(F.col("d").alias("__d")), "op2_dropped")
-    left = docs.withColumn("__d", _key()).join(dropped, "__d", "left_anti")
+    left = docs.withColumn("__d", _key()).hint("merge").join(dropped, "__d", "left_anti")
     first = F.row_number().over(Window.partitionBy("__d").orderBy("text"))
     return left.withColumn("__n", first).where("__n = 1").select(docs.columns)
 
