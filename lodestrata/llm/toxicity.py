@@ -35,7 +35,7 @@ LEAST_DF = 3
 LEAST_Z = 2.0
 #: Bytes of the beginnings of words that are features too.
 PREFIXES = (5, 7)
-L1, L2, COUNTERFACTUAL, STEPS = 2e-4, 1e-5, 1.0, 400
+L1, L2, COUNTERFACTUAL, STEPS = 5e-5, 1e-5, 1.0, 400
 
 #: Groups that are named in neutral sentences; terms of one row are swapped for each other.
 IDENTITY_TERMS = (
