@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cleaned
 from ..operators import citation, classify, references
-from ..sources import readers
+from ..sources import answers, readers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -119,3 +119,47 @@ def masked_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.concat(F.lit("Proc. "), F.when(k % 2 == 0, F.concat(F.lpad(k.cast("string"), 7, "0"), F.lit("-11.2020.8.27.0001"))).otherwise(F.lit("1.234.567/SP")), F.lit(" fim"))
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"), classify.masked(text).alias("masked"))
+
+
+_LABOUR = [(1, '{"quantidadeTotal":3,"documentos":[{"idDocumentoAcordao":"a","tribunal":"TRT1","ementa":"<p>Um&amp;</p>","possuiEmenta":"S","dataJulgamento":"05/03/2024"},{"idDocumentoAcordao":"b","tribunal":"TRT1","ementa":"x","possuiEmenta":"N","dataJulgamento":"31/02/2024"}]}'), (2, '{"quantidadeTotal":4,"documentos":[{"idDocumentoAcordao":"a","tribunal":"TRT1","ementa":"other","possuiEmenta":"S"}]}')]
+
+
+@register("SELECT * FROM (VALUES ('trt1', 'a', 'Um&', DATE '2024-03-05', 1, 0, true), ('trt1', 'b', NULL, NULL, 1, 1, true)) v(court, id, summary, day, page, position, total_drifts)")
+def labour_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a source, without repeats, and whether their totals drift."""
+    return answers.labour_decisions(spark.createDataFrame(_LABOUR, "page int, body string"), "page", "body").select("court", "id", "summary", "day", "page", "position", "total_drifts")
+
+
+_OFFICIAL = [('{"hits":{"value":3},"registros":[{"uuid":"u1","base":"acordaos","processo":"1","ementa":"E","dataJulgamento":"2024-03-05T01:00:00.000Z"},{"uuid":"u2","base":"acordaos","ementa":"S","segredoJustica":true},{"uuid":"u3","base":"outra"}]}',)]
+
+
+@register("SELECT * FROM (VALUES ('u1', 'E', '2024-03-04', 1::BIGINT), ('u2', NULL, NULL, 1::BIGINT)) v(uuid, summary, day, n_other)")
+def official_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An official search, its decisions and the count of other records; secrecy means no text."""
+    return answers.official_decisions(spark.createDataFrame(_OFFICIAL, "body string"), "body").select("uuid", "summary", "day", "n_other")
+
+
+_REGISTERS = [('{"timed_out":false,"_shards":{"failed":0},"hits":{"total":{"value":3},"hits":[{"_source":{"numeroProcesso":"123","grau":"G2","movimentos":[{"codigo":237,"nome":"Provimento","dataHora":"20240305101112"},{"codigo":237,"nome":"Provimento","dataHora":"20240305101112"},{"codigo":581,"nome":"Documento","dataHora":"2024-03-04T10:00:00.000Z","complementosTabelados":[{"nome":"Acórdão"}]},{"codigo":581,"nome":"Documento","dataHora":"x","complementosTabelados":[{"nome":"Certidão"}]},{"codigo":1,"nome":"Outro"}]}},{"_source":{"numeroProcesso":"123","grau":"G1"}},{"_source":{"numeroProcesso":"9","grau":"G2"}}]}}',)]
+
+
+@register("SELECT * FROM (VALUES (0, 581, TIMESTAMP '2024-03-04 10:00:00', 1, 1::BIGINT, 1::BIGINT), (0, 237, TIMESTAMP '2024-03-05 10:11:12', 2, 1::BIGINT, 1::BIGINT)) v(n, code, \"at\", place, n_other_number, n_first_degree)")
+def register_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers of a process and the results among their movements, in order of time."""
+    rows = answers.registers(spark.createDataFrame(_REGISTERS, "body string"), "body", "1-2.3")
+    found = answers.results(rows, "n", "movements", spark.createDataFrame([(237,), (238,)], "code int"))
+    return found.join(rows.select("n", "n_other_number", "n_first_degree"), "n").select("n", "code", F.col("at").cast("timestamp_ntz").alias("at"), "place", "n_other_number", "n_first_degree")
+
+
+@register("SELECT * FROM (VALUES (0, 2, '2024-01-01', 'Intimação'), (1, 2, '2024-01-02', NULL)) v(n, total, day, kind)")
+def journal_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices with allowed fields only."""
+    body = '{"count":2,"items":[{"data_disponibilizacao":"2024-01-01","tipoComunicacao":"Intimação","destinatarios":[{"nome":"x"}]},{"data_disponibilizacao":"2024-01-02"}]}'
+    return answers.notices(spark.createDataFrame([(body,)], "body string"), "body").select("n", "total", "day", "kind")
+
+
+@register("SELECT page_id, CASE WHEN NOT starts_with(url, 'https://') THEN 'link_shape' WHEN NOT contains(html, '<article>') THEN 'no_article' WHEN NOT contains(html, '</html>') THEN 'cut' WHEN length(html) < 1500 THEN 'too_short' END AS reason FROM pages")
+def guarded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of guards, the first that fails being the reason; no text without all."""
+    u, h = F.col("url"), F.col("html")
+    out = answers.guarded(h, [("link_shape", u.startswith("https://")), ("no_article", h.contains("<article>")), ("cut", h.contains("</html>"))], 1500)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", out["reason"].alias("reason"))

@@ -47,3 +47,39 @@ def test_receipts(spark):
     r = spark.createDataFrame(receipts, "receipt string, id string, link string, sha256 string, size int, content binary, at string")
     w = spark.createDataFrame([(1, "a", None), (2, "z", "l1"), (3, "z", "l2"), (4, "d", "l3"), (5, "b", None)], "ask int, id string, link string")
     assert {x.ask: x.receipt for x in m.receipt_for(w, r).collect()} == {1: "r2", 2: "r2", 5: "r3"}
+
+
+def test_incomplete_answers_are_errors(spark):
+    from lodestrata.sources import answers
+
+    for body in ('{"timed_out":true,"hits":{"hits":[]}}', '{"_shards":{"failed":1},"hits":{"hits":[]}}', "{}"):
+        with pytest.raises(m.UnexpectedFormat):
+            answers.registers(spark.createDataFrame([(body,)], "b string"), "b", "1")
+    with pytest.raises(m.UnexpectedFormat):
+        answers.notices(spark.createDataFrame([("[]",)], "b string"), "b")
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    from lodestrata.sources import answers
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/y.txt", "hi")
+        z.writestr("z.bin", b"\x00\x01")
+    rows = answers.archive_members(spark.read.format("binaryFile").load(str(tmp_path / "a.zip"))).collect()
+    assert {(r.member, bytes(r.content)) for r in rows} == {("x/y.txt", b"hi"), ("z.bin", b"\x00\x01")}
+
+
+def test_store_keeps_the_newest_live_answer(spark, tmp_path):
+    import datetime as dt
+
+    from lodestrata.sources import stores
+
+    now = dt.datetime(2024, 1, 10, 12)
+    rows = [("q1", 1, now - dt.timedelta(hours=30)), ("q1", 2, now - dt.timedelta(hours=5)), ("q1", 3, now - dt.timedelta(hours=2)), ("q2", 4, now - dt.timedelta(hours=25)), ("q3", 5, now + dt.timedelta(hours=1))]
+    df = spark.createDataFrame(rows, "q string, v int, ts timestamp")
+    stores.put(df, f"{tmp_path}/s", F.col("q"), F.col("ts"))
+    got = stores.get(spark, f"{tmp_path}/s", F.lit(now)).collect()
+    assert len(got) == 1 and '"v":3' in got[0].payload
+    assert stores.response(df.limit(1), ["q", "v"]).first().json == '{"q":"q1","v":1}'
