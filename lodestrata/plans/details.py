@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import passages
-from ..operators import merging
+from ..operators import filters, merging, panorama
 from .retrieval import FORMULATIONS, ranked_search
 
 QUERIES: dict = {}
@@ -139,3 +139,26 @@ def safe_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t(spark, sf_dir, "documents").select("doc_id", "n_chars").join(t(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("relevant")), "doc_id")
     votes = d.withColumn("x", F.explode(F.array(*map(F.lit, (40, 60, 90, 400))))).where("n_chars < x").select(F.concat(F.lit("len<"), F.col("x").cast("string")).alias("rule"), (F.col("doc_id") % 2).alias("half"), "relevant")
     return merging.safe_rules(votes, "rule", "half", "relevant")
+
+
+_NAMES = [(1, "Ana Lima (relator para o acórdão: Rui Sá)"), (2, "Ana Lima"), (3, "Ana (x) (relator para o acórdão: Rui)"), (4, " Ana (relator para o acórdão: Rui)")]
+
+
+@register("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) v(id, writes)")
+def rapporteur_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that carry the one who writes the decision."""
+    return spark.createDataFrame(_NAMES, "id int, name string").select("id", panorama.writes_decision(F.col("name")).alias("writes"))
+
+
+@register("SELECT doc_id, CASE WHEN length(text) < 600 AND starts_with(lower(text), 'the') THEN '' ELSE sha256(text) END AS content FROM documents")
+def notices_as_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: a short notice is no content."""
+    shown = filters.notice_as_content(F.col("text"), "The")
+    return t(spark, sf_dir, "documents").select("doc_id", F.when(shown == "", "").otherwise(F.sha2("text", 256)).alias("content"))
+
+
+@register("SELECT o_orderpriority AS court, c_mktsegment AS name, count(*) AS n, count(*) <= 3 AS caveat FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 = 0 GROUP BY ALL")
+def name_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """So few rows under a name that its spelling may be the reason."""
+    rows = t(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").join(t(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("name")), F.col("o_custkey") == F.col("c_custkey"))
+    return panorama.name_caveat(rows.groupBy(F.col("o_orderpriority").alias("court"), "name").agg(F.count(F.lit(1)).alias("n")), "n")
