@@ -127,7 +127,8 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     planned = staged(plan(docs).where("copies > 0").select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__c")), "op9_plan")
     sized = docs.withColumn("__size", _size())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
-    return sized.join(planned, same).withColumn("__n", F.explode(F.sequence(F.lit(1), "__c"))).select(docs.columns)
+    # one join strategy at every size: both sides by id, source and size
+    return sized.hint("merge").join(planned, same).withColumn("__n", F.explode(F.sequence(F.lit(1), "__c"))).select(docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
