@@ -31,7 +31,7 @@ from .common import table
 
 MARK = "▁"
 #: Units that each of the cache's two generations holds.
-CACHE = 120_000
+CACHE = 300_000
 #: Units up to this length are solved as one window; longer ones stream.
 WINDOW = 64
 #: What a character without a piece costs beyond the least score.
@@ -81,6 +81,9 @@ class Vocabulary:
         #: No piece goes on with a word mark after another character, nor over a line feed.
         self.cuts = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.pieces)
 
+    def __getstate__(self):
+        return {k: x for k, x in self.__dict__.items() if k != "_codec"}
+
 
 def viterbi(chars: Iterable[str], v: Vocabulary) -> Iterator[int]:
     """Ids of a stream of characters, given out as soon as no later character can change them."""
@@ -172,6 +175,96 @@ def window_ids(unit: str, v: Vocabulary) -> list[int]:
     return out
 
 
+class Trie:
+    """The pieces as a table of (node, character) -> node, for many windows at a time."""
+
+    def __init__(self, v: Vocabulary):
+        alphabet = sorted({c for p in v.pieces for c in p})
+        self.width = len(alphabet) + 1
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in alphabet]] = np.arange(1, self.width)
+        nodes, steps = {"": 0}, []
+        for p in v.table:
+            nodes[p] = len(nodes)
+        for p in v.table:
+            steps.append((nodes[p[:-1]] * self.width + int(self.code[ord(p[-1])]), nodes[p]))
+        self.ids, self.scores = np.full(len(nodes), -1, np.int32), np.zeros(len(nodes))
+        for p, (score, i) in v.pieces.items():
+            self.ids[nodes[p]], self.scores[nodes[p]] = i, score
+        self.bits = max(4, (4 * len(nodes)).bit_length())
+        self.keys, self.next = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        for key, node in steps:
+            h = int(self._slot(np.array([key]))[0])
+            while self.keys[h] != -1:
+                h = (h + 1) & ((1 << self.bits) - 1)
+            self.keys[h], self.next[h] = key, node
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next nodes; 0 where there is none."""
+        key = node.astype(np.int64) * self.width + char
+        h = self._slot(key)
+        found = self.keys[h]
+        out = np.where(found == key, self.next[h], 0)
+        open_ = np.flatnonzero((found != key) & (found != -1))
+        while len(open_):
+            h[open_] = (h[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[h[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.next[h[open_[hit]]]
+            open_ = open_[~hit & (found != -1)]
+        return out
+
+    def solve(self, units: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of windows whose characters are all pieces: `window_ids` for all of them at once."""
+        lens = np.fromiter(map(len, units), np.int64, len(units))
+        chars = self.code[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
+        first = np.cumsum(lens) - lens
+        at = np.arange(len(chars)) - np.repeat(first, lens)  # place in the unit
+        left = np.repeat(lens, lens) - at
+        node_of = np.arange(len(chars)) + np.repeat(np.arange(len(units)), lens)  # boundary before each character
+        state, live, matches = np.zeros(len(chars), np.int32), np.arange(len(chars)), []
+        for d in range(1, longest + 1):
+            live = live[left[live] >= d]
+            if not len(live):
+                break
+            nxt = self.step(state[live], chars[live + d - 1])
+            live, nxt = live[nxt > 0], nxt[nxt > 0]
+            state[live] = nxt
+            own = self.ids[nxt] >= 0
+            place = live[own]
+            order = np.argsort(at[place].astype(np.int16), kind="stable")
+            place, node = place[order], nxt[own][order]
+            matches.append((d, node_of[place], self.scores[node], self.ids[node], np.searchsorted(at[place], np.arange(int(lens.max()) + 1))))
+        size = len(chars) + len(units)
+        best, back, ids = np.full(size, -np.inf), np.zeros(size, np.int32), np.zeros(size, np.int32)
+        start = first + np.arange(len(units))
+        best[start] = 0.0
+        for j in range(int(lens.max())):
+            for d, source, score, piece, cuts in matches:
+                lo, hi = cuts[j], cuts[j + 1]
+                if lo == hi:
+                    continue
+                src = source[lo:hi]
+                value, to = best[src] + score[lo:hi], src + d
+                better = np.flatnonzero(value > best[to])
+                to = to[better]
+                best[to], back[to], ids[to] = value[better], d, piece[lo:hi][better]
+        rows, out, here, who = [], [], start + lens, np.arange(len(units))
+        while len(who):
+            rows.append(who)
+            out.append(ids[here])
+            here = here - back[here]
+            more = here > start[who]
+            who, here = who[more], here[more]
+        row, flat, nth = np.concatenate(rows), np.concatenate(out), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        order = np.lexsort((-nth, row))
+        return flat[order], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(units)))))
+
+
 class Codec:
     """Encodes whole texts; a cache of units keeps their ids as packed 32-bit numbers."""
 
@@ -179,6 +272,8 @@ class Codec:
         self.v = v
         self.units = re.compile(f"{MARK}+[^{MARK}\n\x00]*|\n|\x00|[^{MARK}\n\x00]+" if v.cuts else r"(?s).+")
         self.literal = np.array([v.bytes[b] for b in MARK.encode()], np.int32).tobytes()
+        self.single = re.compile("[" + "".join(re.escape(c) for c in sorted({p for p in v.pieces if len(p) == 1})) + "]*")
+        self.trie: Trie | None = None
         codec = self
 
         class Cache(dict):
@@ -190,46 +285,72 @@ class Codec:
                     if len(unit) > WINDOW:
                         return np.fromiter(viterbi(unit, codec.v), np.int32).tobytes()
                     out = pack("%di" % len(ids := window_ids(unit, codec.v)), *ids)
+                self.put(unit, out)
+                return out
+
+            def put(self, unit, out):
                 if len(self) >= CACHE:
                     self.old = dict(self)
                     self.clear()
                 self[unit] = out
-                return out
 
         self.cache = Cache()
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
+    def split(self, text: str) -> list[str]:
+        """The units of a text; a word mark that it has itself is the unit None."""
         parts = text.split(MARK)
-        out, get = [], self.cache.__getitem__
+        if len(parts) == 1:
+            return self.units.findall(MARK + text.replace(" ", MARK)) if text else []
+        out: list = []
         for n, part in enumerate(parts):
             if n:
-                out.append(self.literal)
-            s = part.replace(" ", MARK)
-            if n == 0:
-                s = MARK + s
-            out.extend(map(get, self.units.findall(s)))
-        return np.frombuffer(b"".join(out), np.int32)
+                out.append(None)
+            out.extend(self.units.findall((MARK if n == 0 else "") + part.replace(" ", MARK)))
+        return out
+
+    def _join(self, units: list[str]) -> np.ndarray:
+        get = self.cache.__getitem__
+        return np.frombuffer(b"".join([self.literal if u is None else get(u) for u in units] if None in units else map(get, units)), np.int32)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self._join(self.split(text))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The same for many texts: their new units are solved together."""
+        split = [self.split(t) for t in texts]
+        cache, old = self.cache, self.cache.old
+        new = [u for u in set().union(*split) if u is not None and 1 < len(u) <= WINDOW and u not in cache and u not in old and self.single.fullmatch(u)]
+        if len(new) > 200:
+            if self.trie is None:
+                self.trie = Trie(self.v)
+            new.sort(key=len)
+            for i in range(0, len(new), 20_000):  # windows of about one length
+                part = new[i : i + 20_000]
+                ids, offs = self.trie.solve(part, self.v.longest)
+                raw, offs = ids.astype(np.int32).tobytes(), (offs * 4).tolist()
+                for u, a, b in zip(part, offs, offs[1:], strict=False):
+                    cache.put(u, raw[a:b])
+        return [self._join(s) for s in split]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.v.out.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
+def codec_of(v: Vocabulary) -> Codec:
+    """The codec of a vocabulary; a Python worker keeps it, and its cache, from task to task."""
+    if not hasattr(v, "_codec"):
+        v._codec = Codec(v)
+    return v._codec
+
+
 def _codec_rows(shared, schema: pa.Schema, ids_name: str, check: str | None):
     def run(batches):
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for b in batches:
-            texts, lens, parts, same = b.column("text"), [], [], []
-            valid = []
-            for x in texts:
-                text = x.as_py()
-                ids = codec.encode(text or "")
-                parts.append(ids)
-                lens.append(len(ids))
-                valid.append(text is not None)
-                if check:
-                    same.append(text is None or codec.decode(ids) == text)
+            texts = b.column("text").to_pylist()
+            parts = codec.encode_all([x or "" for x in texts])
+            lens, valid = [len(x) for x in parts], [x is not None for x in texts]
+            same = [x is None or codec.decode(y) == x for x, y in zip(texts, parts, strict=True)] if check else []
             offsets = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
             values = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32), pa.int32())
             column = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([not x for x in valid], pa.bool_()) if not all(valid) else None)
@@ -259,7 +380,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str
     names = [f.name for f in kept]
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for b in batches:
             texts = [codec.decode(x.values.to_numpy()) if x.is_valid else None for x in b.column(ids)]
             arrays = [*(b.column(n) for n in names), pa.array(texts, pa.string())]

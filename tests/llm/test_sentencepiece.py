@@ -66,3 +66,13 @@ def test_table(docs_of):
     back = m.decode(coded.drop("text"))
     assert sorted(((r.doc_id, r.text) for r in back.collect()), key=str) == sorted([(1, None), (2, ""), (3, "some words"), (3, "some words"), (None, "x")], key=str)
     assert m.encode(docs_of([])).collect() == []
+
+
+def test_windows_solved_together_are_the_same(vocabulary):
+    r, codec, plain = random.Random(5), m.Codec(vocabulary), m.Codec(vocabulary)
+    texts = [" ".join("".join(r.choice("abcdefgéß漢▁☃\n") for _ in range(r.randint(1, 30))) for _ in range(40)) for _ in range(40)] + ["", " ", "▁"]
+    for a, b in zip(codec.encode_all(texts), map(plain.encode, texts)):
+        assert a.tolist() == b.tolist()
+    units = ["▁the", "a", "international", "▁" * 20]
+    ids, offs = m.Trie(vocabulary).solve(units, vocabulary.longest)
+    assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == [m.window_ids(u, vocabulary) for u in units]
