@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_KEY = (1 << 63) - 1
 #: Bytes of text that the array kernels take at a time.
 SLICE_BYTES = 1 << 20
+#: Bytes that are hashed at a time.
+HASH_BYTES = 1 << 22
 
 
 _OWN: dict[str, str] = {}
@@ -108,7 +110,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     if not len(starts):
         return np.empty(0, np.uint64)
     lens = ends - starts
-    first = np.concatenate(([0], np.cumsum(lens)[:-1]))
+    total = np.cumsum(lens)
+    if total[-1] > HASH_BYTES and len(lens) > 1:  # temporary arrays of a very long text stay bounded
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(total, np.arange(HASH_BYTES, total[-1], HASH_BYTES)), [len(lens)])))
+        return np.concatenate([hash_spans(data, starts[a:b], ends[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    first = np.concatenate(([0], total[:-1]))
     at = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(first, lens)
     val = _BYTE[data[at + np.repeat(starts, lens)]] * places(int(lens.max()))[at]
     return mix(np.add.reduceat(val, first) + lens.astype(np.uint64) * _GOLD)

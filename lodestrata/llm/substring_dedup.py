@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from .common import Words, discard, doc_key, gram_hash, inside, later_occurrences, release, repeated_keys, signed, sliding_min, staged, table, text_slices
 
 GRAM = 6
+STEP = 1 << 20
 FACTOR = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("ref_doc", T.LongType()), T.StructField("ref_start", T.IntegerType())])
 
 
@@ -37,9 +38,13 @@ def _anchors(h: np.ndarray, w: Words, window: int):
     if not len(ok):
         return ok, None, None
     g = gram_hash(h, GRAM, 21)
-    low = np.uint64((1 << 24) - 1)
-    key = (g & ~low) | np.arange(len(g), dtype=np.uint64)
-    pos = (sliding_min(key, window - GRAM + 1)[ok] & low).astype(np.int64)
+    low, width = np.uint64((1 << 24) - 1), window - GRAM + 1
+    pos = np.empty(len(g) - width + 1, np.int64)
+    for s in range(0, len(pos), STEP):  # places fit the low bits, whatever the length of a text
+        part = g[s : s + STEP + width - 1]
+        key = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        pos[s : s + STEP] = s + (sliding_min(key, width) & low).astype(np.int64)
+    pos = pos[ok]
     return ok, g, pos
 
 

@@ -47,3 +47,16 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 150)} == {100} and 200 not in got
     assert components(spark.createDataFrame([], "a long, b long").where(F.lit(True)), "t").collect() == []
+
+
+def test_bounded_arrays_change_nothing(monkeypatch):
+    from lodestrata.llm import substring_dedup as d
+
+    r = random.Random(6)
+    raw = " ".join(r.choice(["a", "bb", "ccc", "x" * 50]) for _ in range(3000)).encode()
+    data, offs = np.frombuffer(raw, np.uint8), np.array([0, 1000, len(raw)])
+    w = c.Words(data, offs)
+    h, (_, _, pos) = w.hashes(), d._anchors(w.hashes(), w, 20)
+    monkeypatch.setattr(c, "HASH_BYTES", 100)
+    monkeypatch.setattr(d, "STEP", 7)
+    assert np.array_equal(h, w.hashes()) and np.array_equal(pos, d._anchors(h, w, 20)[2])
