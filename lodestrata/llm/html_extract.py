@@ -7,7 +7,9 @@ one vector make an equivalence class. Classes that stand in most pages of the ru
 tokens come in one order on all pages that have them and their tags nest; valid classes make the
 template. What is left between template tokens are slots. A slot belongs to the page's article unless
 the tags around it say menu, header, footer, sidebar, notice, advert, form or comment; where a page
-marks no article, text that belongs to the template itself (the same on most pages) goes as well.
+marks no article, text that belongs to the template itself (the same on most pages) goes as well. Where
+runs begin hangs on the partitions, so only pages without a marked article may be read otherwise when
+the number of partitions changes.
 
 Defined cases: null and empty html give an empty text; cut tags at the end are dropped, cut character
 references stay as they are; a page without host mates is its own template, so only its tags speak;
