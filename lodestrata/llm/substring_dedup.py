@@ -165,13 +165,13 @@ def _factor_rows(window: int):
 
 
 def _digest_rows(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_factors", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
     rows = _factor_rows(window)
 
     def run(batches):
         for b in rows(batches):
             kept = b.column("kept_text").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), b.column("n_removed"), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept]), pa.array([len(x) for x in b.column("factors")], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), b.column("n_removed"), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept])], schema=schema)
 
     return run
 
@@ -201,7 +201,7 @@ def rlz_factors(docs: DataFrame, window: int = 20) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return _with_late(docs, 20).mapInArrow(_digest_rows(20), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long")
+    return _with_late(docs, 20).mapInArrow(_digest_rows(20), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE_SQL = r"""
