@@ -34,6 +34,8 @@ BUCKETS = 1 << BITS
 FIT_ROWS = 20_000
 SEED = 7
 SMOOTHING = 1.0
+#: Weights are cut here, against overflow only: share is 1 / FIT_ROWS at least, so share * weight is far over 1 by then.
+MOST_LOG = 700.0
 
 _CLASS = np.full(256, 2, np.uint8)  # 0 space, 1 word, 2 sign
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -187,7 +189,7 @@ def threshold(scored: DataFrame, model: Model, k: int | None = None) -> int | No
     if not model.fitted:
         return None
     if k is None:
-        k = round(scored.agg(F.sum(F.least(F.lit(1.0), F.lit(model.share) * F.exp(F.least(F.col("log_ratio"), F.lit(1.0))))).alias("k")).first()["k"] or 0)
+        k = round(scored.agg(F.sum(F.least(F.lit(1.0), F.lit(model.share) * F.exp(F.least(F.col("log_ratio"), F.lit(MOST_LOG))))).alias("k")).first()["k"] or 0)
     if k <= 0:
         return (1 << 63) - 1
     return kth_largest(scored, "sample_key", k)

@@ -69,3 +69,18 @@ def test_defined_cases(spark, docs_of):
     assert m.keep_target(docs_of([]), some).collect() == []
     clash = docs.withColumns({"log_ratio": F.lit("mine"), "sample_key": F.lit("mine")})
     assert {r.log_ratio for r in m.keep_target(clash, some).collect()} == {"mine"}
+
+
+def test_keeps_clean_text_of_a_mostly_bad_corpus(spark, docs_of):
+    vocabulary = words(1, 300)
+    rows = []
+    for n in range(600):
+        ws = [vocabulary[(n * 37 + k * k * 11) % 300] for k in range(60)]
+        rows.append((n, " ".join(ws) + "." if n % 10 == 0 else " ".join(w + "***" for w in ws)))
+    labels = spark.createDataFrame([(n, int(n % 10 == 0), 0) for n in range(600) if n % 20 < 10], LABELS)
+    docs = docs_of(rows)
+    assert abs(m.fit(docs, labels).share - 0.1) < 1e-9
+    kept = {r.doc_id for r in m.keep_target(docs, labels).collect()}
+    good = {n for n, _ in rows if n % 10 == 0}
+    assert len(good & kept) >= 0.97 * len(good)
+    assert len(kept - good) <= 2
