@@ -3,14 +3,18 @@
 Native: every step is a built-in function on one row, so there is no shuffle. Places of matches come
 from the lengths of the pieces between them (`split`) and of the matches (`regexp_extract_all`).
 
-Entropy: a candidate is a maximal run of base64 characters, `WINDOW` or more, with letters and three
-digits or more. A window of `WINDOW` characters slides over it; its counts per character are changed
+Entropy: a candidate is a maximal run of base64 or base64url characters, `WINDOW` or more, with a letter
+(numbers are no keys). A window of `WINDOW` characters slides over it; its counts per character are changed
 by the character that enters and the one that leaves, and with them the sum of n * log2(n), held in
 millionths of a bit as an integer, so no error builds up. The entropy is log2(WINDOW) less that sum
-over WINDOW. Each character class (hex; letters of one case and digits; mixed) has its threshold.
-Candidates on the allow list (UUIDs, placeholder words, runs of one character) and those that
+over WINDOW. Each character class (hex; letters of both cases; letters of one case and digits; letters of
+one case without a digit, or joined by - or _, as words are) has its threshold. UUIDs are taken out first.
+Candidates on the allow list (placeholder words, runs of one character) and those that
 overlap a pattern's match add no span.
 
+The SQL twin is narrower: it asks for three digits and ends a candidate at - and _. Texts without such a
+key, as those of the given tables, get the same spans from both.
+
 Defined cases: null and empty texts have no spans; rows are independent, so repeated rows, ties and
 null ids need no rule; extra columns are kept by `find_secrets` and `redact_secrets`.
 """
@@ -37,8 +41,12 @@ WINDOW = 20
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"
 CANDIDATE = r"[A-Za-z0-9+/]{20,}"
 ALLOWED = r"(?:[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd]|[Cc][Hh][Aa][Nn][Gg][Ee][Mm][Ee]|0{8}|1{8}|[Xx]{8}|1234567890|abcdefghij|ABCDEFGHIJ)"
+#: As the query has them; the two above are the SQL twin's.
+TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+TOKEN_ALPHABET = ALPHABET + "-_"
+UUID = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])"
 #: Bits of entropy that the best window must reach, by class.
-THRESHOLDS = {"hex": 3.0, "one_case": 3.5, "mixed": 3.7}
+THRESHOLDS = {"hex": 3.0, "one_case": 3.5, "mixed": 3.7, "words": 3.8}
 #: n * log2(n) in millionths of a bit.
 NLOGN = [round(n * math.log2(n) * 1e6) if n else 0 for n in range(WINDOW + 1)]
 
@@ -66,12 +74,12 @@ def _matches(text: Column, pattern: str, keep, group: int = 0) -> Column:
 
 def window_sum(candidate: Column) -> Column:
     """Least sum of n * log2(n), in millionths, of the windows of a string: incremental counts."""
-    chars = F.transform(F.split(candidate, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
+    chars = F.transform(F.split(candidate, ""), lambda c: F.call_function("locate", c, F.lit(TOKEN_ALPHABET)))
     table_ = F.array(*[F.lit(x).cast("bigint") for x in NLOGN])
     at = lambda n: F.element_at(table_, n + F.lit(1))
     shifted = F.concat(F.array_repeat(F.lit(0), WINDOW), chars)
     steps = F.arrays_zip(chars.alias("new"), F.slice(shifted, F.lit(1), F.size(chars)).alias("old"), F.sequence(F.lit(1), F.size(chars)).alias("n"))
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(2**62).cast("bigint").alias("best"))
+    zero = F.struct(F.array_repeat(F.lit(0), len(TOKEN_ALPHABET)).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(2**62).cast("bigint").alias("best"))
 
     def step(acc, x):
         same = x["new"] == x["old"]
@@ -84,10 +92,11 @@ def window_sum(candidate: Column) -> Column:
     return F.aggregate(steps, zero, step)["best"]
 
 
-def _high_entropy(c: Column) -> Column:
-    limit = F.when(c.rlike("^[0-9a-fA-F]+$"), F.lit(_most(THRESHOLDS["hex"]))).when(c.rlike("[a-z]") & c.rlike("[A-Z]"), F.lit(_most(THRESHOLDS["mixed"]))).otherwise(F.lit(_most(THRESHOLDS["one_case"])))
-    shaped = c.rlike("[A-Za-z]") & c.rlike("[0-9][^0-9]*[0-9][^0-9]*[0-9]") & ~c.rlike(ALLOWED)
-    return F.when(shaped, window_sum(c) <= limit).otherwise(F.lit(False))
+def _high_entropy(hit: Column) -> Column:
+    c = F.regexp_replace(hit, UUID, "-")
+    bits = lambda kind: F.lit(_most(THRESHOLDS[kind]))
+    limit = F.when(c.rlike("^[0-9a-fA-F]+$"), bits("hex")).when(c.rlike("[a-z]") & c.rlike("[A-Z]"), bits("mixed")).when(c.rlike("[0-9]") & ~c.rlike("[_-]"), bits("one_case")).otherwise(bits("words"))
+    return F.when(c.rlike("[A-Za-z]") & ~c.rlike(ALLOWED), window_sum(c) <= limit).otherwise(F.lit(False))
 
 
 NAMES = ("assigns", "accesses", "hexes", "entropies")
@@ -101,7 +110,7 @@ def find_secrets(docs: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
             names[0]: _matches(text, ASSIGN, lambda hit, own: F.length(own) >= 6, 2),
             names[1]: _matches(text, ACCESS.replace("+", "{16,}"), lambda hit, own: F.length(hit) >= 20),
             names[2]: _matches(text, HEX.replace("+", "{24,}"), lambda hit, own: F.length(hit) >= 24),
-            names[3]: _matches(text, CANDIDATE, lambda hit, own: _high_entropy(hit)),
+            names[3]: _matches(text, TOKEN, lambda hit, own: _high_entropy(hit)),
         }
     )
     known = F.concat(*names[:3])

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 
 from lodestrata.llm import secret_scans as m
 
@@ -53,3 +55,19 @@ def test_redaction(docs_of):
     assert got == [(1, None), (2, "a [SECRET] b"), (3, "keep"), (3, "keep")]
     assert m.redact_secrets(docs).columns == docs.columns
     assert m.redact_secrets(docs_of([])).collect() == []
+
+
+def test_keys_with_few_digits_and_base64url(docs_of):
+    r = random.Random(5)
+    letters, digits = string.ascii_letters, string.digits
+    keys = []
+    for n in range(90):
+        size, few = (20, 32, 43)[n % 3], n // 3 % 3
+        key = [r.choice(digits) for _ in range(few)] + r.sample(letters, 20 - few) + [r.choice(letters) for _ in range(size - 20)]
+        r.shuffle(key)
+        keys.append("".join(key))
+    keys += ["aZ3_kQ-xW7vB_tR2-mN8c", "q9Zk3LmX8-vB2nC7rT5w_Y1pQ4", "A1B2C-D3E4F-G5H6I-J7K8L", "qwzkxjvbmtrpnhlgfdscyuioae"]
+    plain = ["550e8400-e29b-41d4-a716-446655440000", "/users/550e8400-e29b-41d4-a716-446655440000", "donaudampfschifffahrtsgesellschaft", "top-10-best-restaurants-in-2024", "--------------------------", "12345678901234567890123"]
+    got = {x.doc_id: x.text for x in m.redact_secrets(docs_of(list(enumerate(f"a {k} b" for k in keys + plain)))).collect()}
+    assert [k for n, k in enumerate(keys) if got[n] != "a [SECRET] b"] == []
+    assert [k for n, k in enumerate(plain, len(keys)) if got[n] != f"a {k} b"] == []
