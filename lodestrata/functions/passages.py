@@ -109,9 +109,13 @@ def overlap(summary: Column, text: Column, block: int = 40) -> Column:
     """Share of a summary's blocks of letters and digits that a text contains; 0 without a whole block."""
     bare = lambda c: F.regexp_replace(fold(c), "[^a-z0-9]", "")
     body = bare(F.regexp_replace(summary, r"(?i)\([^()]*julgado em[^()]*\)\s*$", ""))
-    n = F.floor(F.length(body) / block).cast("int")
-    blocks = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n), lambda i: F.substring(body, i * block + 1, F.lit(block)))
-    return F.aggregate(F.array(bare(text)), F.lit(0.0), lambda a, t: F.coalesce(F.try_divide(F.size(F.filter(blocks, lambda b: t.contains(b))), F.size(blocks)), F.lit(0.0)))
+
+    def share(_, both):  # body is bound here, so it is made once a row and not once a block
+        n = F.floor(F.length(both["b"]) / block).cast("int")
+        blocks = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n), lambda i: F.substring(both["b"], i * block + 1, F.lit(block)))
+        return F.coalesce(F.try_divide(F.size(F.filter(blocks, lambda b: both["t"].contains(b))), n), F.lit(0.0))
+
+    return F.aggregate(F.array(F.struct(body.alias("b"), bare(text).alias("t"))), F.lit(0.0), share)
 
 
 def search_word(summary: Column, default: str = "acórdão") -> Column:

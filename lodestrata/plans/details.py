@@ -47,12 +47,22 @@ _BARE = "regexp_replace(strip_accents(lower({0})), '[^a-z0-9]', '', 'g')"
 @register(f"""WITH d AS (SELECT doc_id, lang, {_BARE.format('text')} AS b FROM documents WHERE doc_id % 7 = 0), p AS (SELECT a.doc_id, a.b AS body, c.b AS target FROM d a JOIN d c ON c.doc_id = a.doc_id + 7),
 k AS (SELECT doc_id, target, list_transform(range(CAST(floor(length(body) / 40) AS BIGINT)), lambda i: substr(body, i * 40 + 1, 40)) AS bl FROM p) SELECT doc_id, CASE WHEN len(bl) = 0 THEN 0.0::DOUBLE ELSE round(len(list_filter(bl, lambda x: contains(target, x))) / len(bl), 9) END AS share FROM k""")
 def summary_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a summary's blocks that another text contains."""
-    d = t(spark, sf_dir, "documents").where("doc_id % 7 = 0").select("doc_id", "text")
+    """Share of a summary's blocks that another text contains, for each seventh document, as its SQL twin."""
+    return _overlaps(t(spark, sf_dir, "documents").where("doc_id % 7 = 0"))
+
+
+def _overlaps(docs: DataFrame) -> DataFrame:
+    d = docs.select("doc_id", "text")
     other = d.select((F.col("doc_id") - 7).alias("doc_id"), F.col("text").alias("target"))
     return d.join(other, "doc_id").select("doc_id", F.round(passages.overlap(F.col("text"), F.col("target")), 9).alias("share"))
 
 
+@register()
+def summary_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every document (no SQL twin; tested against plain Python)."""
+    return _overlaps(t(spark, sf_dir, "documents"))
+
+
 @register(r"SELECT doc_id, coalesce(list_filter(regexp_extract_all(text, '\p{L}{5,}'), lambda w: lower(w) <> 'ementa')[1], 'acórdão') AS word FROM documents")
 def search_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word by which a text is looked for."""
@@ -75,11 +85,18 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("WITH u AS (SELECT doc_id % 300 AS k, left(text, 40) AS v, 0 AS n FROM documents UNION ALL SELECT doc_id % 500, left(text, CAST(doc_id % 60 AS INTEGER)), 1 FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY length(v) DESC, n, v DESC) AS rn FROM u) SELECT k, max(v) FILTER (WHERE rn = 1) AS v, count(DISTINCT n) AS n_lists FROM r GROUP BY k")
 def pooled_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One list of several, the longest value standing."""
+    """One list of several, the longest value standing, over starts of the texts, as its SQL twin."""
     d, i = t(spark, sf_dir, "documents"), F.col("doc_id")
     return merging.pool([d.select((i % 300).alias("k"), F.substring("text", 1, 40).alias("v")), d.select((i % 500).alias("k"), F.substring(F.col("text"), F.lit(1), (i % 60).cast("int")).alias("v"))], "k", "v")
 
 
+@register()
+def pooled_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over whole texts (no SQL twin; tested against plain Python)."""
+    d, i = t(spark, sf_dir, "documents"), F.col("doc_id")
+    return merging.pool([d.select((i % 300).alias("k"), F.col("text").alias("v")), d.select((i % 500).alias("k"), F.col("text").alias("v"))], "k", "v")
+
+
 @register("WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT') SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'only_a' WHEN a.k IS NULL THEN 'only_b' ELSE 'both' END AS side FROM a FULL JOIN b ON a.k = b.k")
 def arms_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What only one arm found, and what both did."""

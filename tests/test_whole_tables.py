@@ -1,5 +1,7 @@
 """Queries over whole tables that have no DuckDB twin, against plain Python."""
 
+import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
@@ -85,3 +87,31 @@ def test_name_caveats(spark, rows):
     want = sorted((*k, x, x <= 3) for k, x in n.items())
     assert {w[3] for w in want} == {True, False}
     assert got(spark, "name_caveats_whole") == want
+
+
+def test_summary_overlap(spark, tmp_path):
+    long = " ".join(f"word{n} straße é" for n in range(40))
+    texts = {n: f"{long[n * 3 :]} end {n}" if n % 3 else f"only {n} " * 30 for n in range(1, 22)} | {22: "short", 29: long}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bare = lambda x: re.sub("[^a-z0-9]", "", "".join(c for c in unicodedata.normalize("NFD", x.lower()) if not unicodedata.combining(c)))
+    want = {}
+    for n, x in texts.items():
+        if n + 7 in texts:
+            b, other = bare(x), bare(texts[n + 7])
+            blocks = [b[i : i + 40] for i in range(0, len(b) - 39, 40)]
+            want[n] = round(sum(k in other for k in blocks) / len(blocks), 9) if blocks else 0.0
+    found = {r.doc_id: r.share for r in registry.QUERIES["summary_overlap_whole"](spark, str(tmp_path)).collect()}
+    assert found == want and len(want) == 16 and any(0 < v < 1 for v in want.values())
+
+
+def test_pooled_lists(spark, rows):
+    values = defaultdict(list)
+    for d in rows("documents"):
+        for n, size in enumerate((300, 500)):
+            values[d["doc_id"] % size].append((d["text"], n))
+    found = {r.k: (r.v, r.n_lists) for r in registry.QUERIES["pooled_lists_whole"](spark, D).collect()}
+    assert found.keys() == values.keys()
+    for k, vs in values.items():
+        texts = [v for v, _ in vs if v is not None]
+        assert (len(found[k][0] or ""), found[k][1]) == (max(map(len, texts), default=0), len({n for _, n in vs}))
+    assert max(len(v or "") for v, _ in found.values()) > 60
