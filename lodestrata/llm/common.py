@@ -69,6 +69,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks_for(df: DataFrame, per: int = 1) -> int:
+    """How many tasks a shuffle of about the input's size needs: the session's number, or more where the scan has more splits."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), per * df.rdd.getNumPartitions())
+
+
 def doc_key(col="doc_id"):
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_KEY))
 
