@@ -27,9 +27,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is given."""
+    """The folder that driver and executors share. A local one is made only where none is named and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="staged_")
         _OWN[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
@@ -207,119 +209,133 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- sorted runs
 
-LATER = T.StructType([T.StructField(n, t) for n, t in (("d", T.LongType()), ("pos", T.IntegerType()), ("sd", T.LongType()), ("sp", T.IntegerType()), ("kind", T.IntegerType()), ("pid", T.IntegerType()), ("k1", T.LongType()), ("k2", T.IntegerType()))])
-_LATER_ARROW = pa.schema([("d", pa.int64()), ("pos", pa.int32()), ("sd", pa.int64()), ("sp", pa.int32()), ("kind", pa.int32()), ("pid", pa.int32()), ("k1", pa.int64()), ("k2", pa.int32())])
+_PLACE_FIELDS = [("d", T.LongType()), ("e", T.LongType()), ("pos", T.IntegerType()), ("sd", T.LongType()), ("se", T.LongType()), ("sp", T.IntegerType())]
+LATER = T.StructType([T.StructField(n, t) for n, t in [*_PLACE_FIELDS, ("kind", T.IntegerType()), ("pid", T.IntegerType()), ("k1", T.LongType()), ("k2", T.IntegerType())]])
+_LATER_ARROW = pa.schema([(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.int32()) for f in LATER.fields])
+
+
+def row_hash(text: str = "text"):
+    """What tells rows of one doc_id apart: a hash of the text, null as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _later(batches):
     from pyspark import TaskContext
 
     pid = TaskContext.get().partitionId()
-    cur = None  # key of the open group and its first place
+    cur = None  # key of the open group, its first place, and the last place seen
     head = None
     for b in batches:
         n = b.num_rows
         if not n:
             continue
-        k1, k2, d, pos = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "d", "pos"))
+        k1, k2, d, e, pos = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "d", "e", "pos"))
         new = np.ones(n, bool)
         new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        again = np.zeros(n, bool)  # the place of the row before, as repeated rows have it
+        again[1:] = ~new[1:] & (d[1:] == d[:-1]) & (e[1:] == e[:-1]) & (pos[1:] == pos[:-1])
         if cur is not None:
             new[0] = (k1[0], k2[0]) != cur[:2]
+            again[0] = not new[0] and (d[0], e[0], pos[0]) == cur[5:]
         group = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-        sd, sp = np.where(group < 0, 0 if cur is None else cur[2], d[group]), np.where(group < 0, 0 if cur is None else cur[3], pos[group])
+        first = (0, 0, 0) if cur is None else cur[2:5]
+        sd, se, sp = (np.where(group < 0, x, y[group]) for x, y in zip(first, (d, e, pos), strict=True))
         if head is None:
-            head = (int(k1[0]), int(k2[0]), int(d[0]), int(pos[0]))
-        late = np.flatnonzero((sd != d) | (sp != pos))
+            head = (int(k1[0]), int(k2[0]), int(d[0]), int(e[0]), int(pos[0]))
+        late = np.flatnonzero(((sd != d) | (se != e) | (sp != pos)) & ~again)
         if len(late):
             z = np.zeros(len(late), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(d[late]), pa.array(pos[late].astype(np.int32)), pa.array(sd[late]), pa.array(sp[late].astype(np.int32)), pa.array(z), pa.array(z), pa.array(z.astype(np.int64)), pa.array(z)], schema=_LATER_ARROW)
-        cur = (int(k1[-1]), int(k2[-1]), int(sd[-1]), int(sp[-1]))
+            places_ = [x[late] for x in (d, e)] + [pos[late].astype(np.int32)] + [x[late] for x in (sd, se)] + [sp[late].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*places_, z, z, z.astype(np.int64), z)], schema=_LATER_ARROW)
+        cur = tuple(int(x[-1]) for x in (k1, k2, sd, se, sp, d, e, pos))
     if head is not None:  # what the neighbouring partitions must know
-        rows = [(head[2], head[3], 0, 0, 1, pid, head[0], head[1]), (0, 0, cur[2], cur[3], 2, pid, cur[0], cur[1])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _LATER_ARROW.types[i]) for i in range(8)], schema=_LATER_ARROW)
+        rows = [(*head[2:], 0, 0, 0, 1, pid, *head[:2]), (0, 0, 0, *cur[2:5], 2, pid, *cur[:2])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _LATER_ARROW.types[i]) for i in range(10)], schema=_LATER_ARROW)
 
 
-def later_occurrences(items: DataFrame, name: str) -> DataFrame:
-    """Places (d, pos) whose key (k1, k2) also stands at an earlier place, with one such place (sd, sp).
+def later_occurrences(items: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Places (d, e, pos) whose key (k1, k2) also stands at an earlier place, with the first such place (sd, se, sp).
 
-    items has k1 long, k2 int, d long, pos int. One range shuffle by key and place, so a key that
-    holds any share of the rows is dealt over several tasks; two rows a partition tell the driver
-    where a group runs on into the next partition. Equal places never make each other later.
+    items has k1 long, k2 int, and a place d long, e long, pos int; e tells rows of one d apart. One range
+    shuffle by key and place, so a key that holds any share of the rows is dealt over several tasks; two
+    rows a partition tell the driver where a group runs on into the next partition. Equal places never
+    make each other later.
     """
     spark = items.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = items.select("k1", "k2", "d", "pos").repartitionByRange(n, "k1", "k2", "d", "pos").sortWithinPartitions("k1", "k2", "d", "pos")
+    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["k1", "k2", "d", "e", "pos"]
+    ordered = items.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order)
     found = staged(ordered.mapInArrow(_later, LATER), name)
-    late = found.where("kind = 0").select("d", "pos", "sd", "sp")
+    late = found.where("kind = 0").select("d", "e", "pos", "sd", "se", "sp")
     ends: dict[int, dict[int, tuple]] = {}
     for r in found.where("kind > 0").collect():  # two rows a partition
         ends.setdefault(r.pid, {})[r.kind] = r
     fixed, before = [], None
     for pid in sorted(ends):
         h, t = ends[pid][1], ends[pid][2]
-        joined = before is not None and (before[0], before[1]) == (h.k1, h.k2)
-        if joined and (before[2], before[3]) != (h.d, h.pos):
-            fixed.append((h.d, h.pos, before[2], before[3]))
+        joined = before is not None and before[:2] == (h.k1, h.k2)
+        if joined and before[2:] != (h.d, h.e, h.pos):
+            fixed.append((h.d, h.e, h.pos, *before[2:]))
         # a group that fills the whole partition keeps its first place
-        before = before if joined and (t.k1, t.k2) == (h.k1, h.k2) else (t.k1, t.k2, t.sd, t.sp)
+        before = before if joined and (t.k1, t.k2) == (h.k1, h.k2) else (t.k1, t.k2, t.sd, t.se, t.sp)
     out = late
     if fixed:  # a row a partition at most; what points at a partition's first row points at the group's
-        moved = spark.createDataFrame([(d, p, sd, sp) for d, p, sd, sp in fixed], "_d long, _p int, _sd long, _sp int")
-        here = (F.col("sd") == F.col("_d")) & (F.col("sp") == F.col("_p"))
-        late = late.join(F.broadcast(moved), here, "left").select("d", "pos", F.coalesce("_sd", "sd").alias("sd"), F.coalesce("_sp", "sp").alias("sp"))
+        moved = spark.createDataFrame(fixed, "_d long, _e long, _p int, _sd long, _se long, _sp int")
+        here = (F.col("sd") == F.col("_d")) & (F.col("se") == F.col("_e")) & (F.col("sp") == F.col("_p"))
+        late = late.join(F.broadcast(moved), here, "left").select("d", "e", "pos", *(F.coalesce(f"_{c}", c).alias(c) for c in ("sd", "se", "sp")))
         out = late.unionByName(spark.createDataFrame(fixed, late.schema))
     out._staged_path = found._staged_path
     return out
 
 
-REPEATED = T.StructType([T.StructField(n, t) for n, t in (("d", T.LongType()), ("s", T.IntegerType()), ("kind", T.IntegerType()), ("pid", T.IntegerType()), ("a", T.LongType()))])
-_REPEATED_ARROW = pa.schema([("d", pa.int64()), ("s", pa.int32()), ("kind", pa.int32()), ("pid", pa.int32()), ("a", pa.int64())])
+REPEATED = T.StructType([T.StructField(n, t) for n, t in (("d", T.LongType()), ("e", T.LongType()), ("s", T.IntegerType()), ("kind", T.IntegerType()), ("pid", T.IntegerType()), ("a", T.LongType()))])
+_REPEATED_ARROW = pa.schema([(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.int32()) for f in REPEATED.fields])
 
 
 def _repeated(batches):
     from pyspark import TaskContext
 
     pid = TaskContext.get().partitionId()
-    prev = None  # the last row so far: (a, d, s, already known to be repeated)
+    prev = None  # the last row so far: (a, d, e, s, already known to be repeated)
     head = None  # the first key, and whether its group has a second row here
     for b in batches:
         n = b.num_rows
         if not n:
             continue
-        a, d, s = (b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "d", "s"))
+        a, d, e, s = (b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "d", "e", "s"))
         if prev is not None:
-            a, d, s = np.concatenate(([prev[0]], a)), np.concatenate(([prev[1]], d)), np.concatenate(([prev[2]], s))
+            a, d, e, s = (np.concatenate(([x], y)) for x, y in zip(prev, (a, d, e, s), strict=False))
         same = a[1:] == a[:-1]
         hit = np.zeros(len(a), bool)
         hit[1:] |= same
         hit[:-1] |= same
-        known = prev is not None and prev[3]
+        known = prev is not None and prev[4]
         if prev is None:
-            head = [int(a[0]), int(d[0]), int(s[0]), False]
-        if head is not None and not head[3] and hit[0] and a[0] == head[0] and (int(d[0]), int(s[0])) == (head[1], head[2]):
-            head[3] = True
+            head = [int(a[0]), int(d[0]), int(e[0]), int(s[0]), False]
+        if not head[4] and hit[0] and [int(x[0]) for x in (a, d, e, s)] == head[:4]:
+            head[4] = True
         out = hit.copy()
+        out[1:] &= ~(same & (d[1:] == d[:-1]) & (e[1:] == e[:-1]) & (s[1:] == s[:-1]))  # once for repeated rows
         if known:
             out[0] = False  # was given before
         at = np.flatnonzero(out)
         if len(at):
             z = np.zeros(len(at), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(s[at].astype(np.int32)), pa.array(z), pa.array(z), pa.array(z.astype(np.int64))], schema=_REPEATED_ARROW)
-        prev = (int(a[-1]), int(d[-1]), int(s[-1]), bool(hit[-1] or (known and len(a) == 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[at], e[at], s[at].astype(np.int32), z, z, z.astype(np.int64))], schema=_REPEATED_ARROW)
+        prev = (*(int(x[-1]) for x in (a, d, e, s)), bool(hit[-1] or (known and len(a) == 1)))
     if prev is not None:
         # kind 1: first row, kind 2: last row; + 2 if already given as repeated
-        rows = [(head[1], head[2], 3 if head[3] else 1, pid, head[0]), (prev[1], prev[2], 4 if prev[3] else 2, pid, prev[0])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _REPEATED_ARROW.types[i]) for i in range(5)], schema=_REPEATED_ARROW)
+        rows = [(*head[1:4], 3 if head[4] else 1, pid, head[0]), (*prev[1:4], 4 if prev[4] else 2, pid, prev[0])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _REPEATED_ARROW.types[i]) for i in range(6)], schema=_REPEATED_ARROW)
 
 
-def repeated_keys(items: DataFrame, name: str) -> DataFrame:
-    """Rows (d, s) whose key a stands in two rows or more; the same skew-free shuffle."""
+def repeated_keys(items: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Rows (d, e, s) whose key a stands in two rows or more, once each; the same skew-free shuffle."""
     spark = items.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = items.select("a", "d", "s").repartitionByRange(n, "a", "d", "s").sortWithinPartitions("a", "d", "s")
+    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = items.select("a", "d", "e", "s").repartitionByRange(n, "a", "d", "e", "s").sortWithinPartitions("a", "d", "e", "s")
     found = staged(ordered.mapInArrow(_repeated, REPEATED), name)
-    out = found.where("kind = 0").select("d", "s")
+    out = found.where("kind = 0").select("d", "e", "s")
     ends: dict[int, dict[int, tuple]] = {}
     for r in found.where("kind > 0").collect():  # two rows a partition
         ends.setdefault(r.pid, {})[1 if r.kind in (1, 3) else 2] = r
@@ -327,7 +343,7 @@ def repeated_keys(items: DataFrame, name: str) -> DataFrame:
     for pid in sorted(ends):
         h, t = ends[pid][1], ends[pid][2]
         if before is not None and before.a == h.a:
-            fixed |= {(r.d, r.s) for r in (before, h) if r.kind < 3}
+            fixed |= {(r.d, r.e, r.s) for r in (before, h) if r.kind < 3}
         before = t
     if fixed:
         out = out.unionByName(spark.createDataFrame(sorted(fixed), out.schema))

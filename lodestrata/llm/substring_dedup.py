@@ -10,9 +10,10 @@ factor boundary the windows that start inside the last window - 1 words are chec
 match that straddles two factors is found too. Factors are at least `window` words long.
 
 Defined cases: null and empty texts and texts under `window` words keep all words; a null doc_id
-comes after every other; rows that share a doc_id share its places, so neither makes the other
-repeat, and a start removed in one is removed in all; copies of a whole text under another doc_id
-are one factor. Extra columns are ignored.
+comes after every other; different texts under one doc_id (or none) are documents of their own, in
+the order of a hash of the text, and judged apart; rows equal in doc_id and text have one place, so
+neither makes the other repeat and both keep the same words; copies of a whole text under another
+doc_id are one factor. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, discard, doc_key, gram_hash, inside, later_occurrences, release, repeated_keys, signed, sliding_min, staged, table, text_slices
+from .common import Words, discard, doc_key, gram_hash, inside, later_occurrences, release, repeated_keys, row_hash, signed, sliding_min, table, tasks_for, text_slices
 
 GRAM = 6
 STEP = 1 << 20
@@ -56,11 +57,11 @@ def _runs(ok: np.ndarray, pos: np.ndarray, row: np.ndarray):
 
 
 def _anchor_rows(window: int):
-    schema = pa.schema([("a", pa.int64()), ("d", pa.int64()), ("s", pa.int32())])
+    schema = pa.schema([("a", pa.int64()), ("d", pa.int64()), ("e", pa.int64()), ("s", pa.int32())])
 
     def run(batches):
         for b in batches:
-            ids = b.column("d").to_numpy(zero_copy_only=False)
+            ids, own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d", "e"))
             for i, _, data, offs in text_slices(b.column("text")):
                 w = Words(data, offs)
                 h = w.hashes()
@@ -70,17 +71,17 @@ def _anchor_rows(window: int):
                 row = w.row_of()
                 at = np.flatnonzero(_runs(ok, pos, row))
                 r = row[ok[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(g[pos[at]])), pa.array(ids[i + r]), pa.array((ok[at] - w.first[r]).astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(g[pos[at]])), pa.array(ids[i + r]), pa.array(own[i + r]), pa.array((ok[at] - w.first[r]).astype(np.int32))], schema=schema)
 
     return run
 
 
 def _window_rows(window: int):
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("d", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("d", pa.int64()), ("e", pa.int64()), ("pos", pa.int32())])
 
     def run(batches):
         for b in batches:
-            ids = b.column("d").to_numpy(zero_copy_only=False)
+            ids, own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d", "e"))
             marks = b.column("marks")
             for i, j, data, offs in text_slices(b.column("text")):
                 w = Words(data, offs)
@@ -105,22 +106,22 @@ def _window_rows(window: int):
                     continue
                 k1, k2 = gram_hash(h, window, 22)[at], gram_hash(h, window, 23)[at]
                 rr = row[at]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(k1)), pa.array((k2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[i + rr]), pa.array((at - w.first[rr]).astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(k1)), pa.array((k2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[i + rr]), pa.array(own[i + rr]), pa.array((at - w.first[rr]).astype(np.int32))], schema=schema)
 
     return run
 
 
-def parse(pos: np.ndarray, sd: np.ndarray, sp: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """The greedy factors (start, length, ref doc, ref start) of a document, from its windows that stand earlier."""
+def parse(pos: np.ndarray, sd: np.ndarray, se: np.ndarray, sp: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """The greedy factors (start, length, ref doc, ref start) of a document, from its windows that stand earlier; (sd, se) name a reference text."""
     order = np.argsort(pos, kind="stable")
-    pos, sd, sp = pos[order], sd[order], sp[order]
+    pos, sd, se, sp = (x[order] for x in (pos, sd, se, sp))
     if len(pos) > 1:
         one = np.ones(len(pos), bool)
         one[1:] = pos[1:] != pos[:-1]
-        pos, sd, sp = pos[one], sd[one], sp[one]
+        pos, sd, se, sp = (x[one] for x in (pos, sd, se, sp))
     # a factor goes on while the next window is the next of the same reference run
     cut = np.ones(len(pos), bool)
-    cut[1:] = (pos[1:] != pos[:-1] + 1) | (sd[1:] != sd[:-1]) | (sp[1:] != sp[:-1] + 1)
+    cut[1:] = (pos[1:] != pos[:-1] + 1) | (sd[1:] != sd[:-1]) | (se[1:] != se[:-1]) | (sp[1:] != sp[:-1] + 1)
     at = np.flatnonzero(cut)
     ends = np.append(at[1:], len(pos)) - 1
     return [(int(pos[a]), int(pos[e] - pos[a]) + window, int(sd[a]), int(sp[a])) for a, e in zip(at, ends, strict=True)]
@@ -142,13 +143,13 @@ def _factor_rows(window: int):
                     found = late[i + r]
                     if found.is_valid and len(found.values):
                         v = found.values
-                        pos, sd, sp = (v.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "sd", "sp"))
+                        pos, sd, se, sp = (v.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "sd", "se", "sp"))
                         if pos.min() < 0:  # a copy of a whole text
                             if n >= window:
                                 at = int(pos.argmin())
                                 factors = [(0, n, int(sd[at]), 0)]
                         else:
-                            factors = parse(pos, sd, sp, window)
+                            factors = parse(pos, sd, se, sp, window)
                     keep = np.ones(n, bool)
                     for s, length, _, _ in factors:
                         keep[s : s + length] = False
@@ -177,21 +178,23 @@ def _digest_rows(window: int):
 
 
 def _with_late(docs: DataFrame, window: int) -> DataFrame:
+    """The rows with `late`: their windows that stand earlier. A document is a doc_id with a text (d, e)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("d"), F.col("text"))
+    n = tasks_for(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("d"), row_hash().alias("e"), F.col("text"))
     # whole copies: one item a document
-    whole = docs.where("text is not null").select(F.xxhash64("text").alias("k1"), F.hash(F.reverse("text")).alias("k2"), "d", F.lit(-1).cast("int").alias("pos"))
-    copies = later_occurrences(whole, "op1_copies")
-    anchors = docs.select("d", "text").mapInArrow(_anchor_rows(window), "a long, d long, s int")
-    repeats = repeated_keys(anchors, "op1_anchors")
+    whole = docs.where("text is not null").select(F.xxhash64("text").alias("k1"), F.hash(F.reverse("text")).alias("k2"), "d", "e", F.lit(-1).cast("int").alias("pos"))
+    copies = later_occurrences(whole, "op1_copies", n)
+    anchors = docs.select("d", "e", "text").mapInArrow(_anchor_rows(window), "a long, d long, e long, s int")
+    repeats = repeated_keys(anchors, "op1_anchors", n)
     release(spark)
-    marks = repeats.unionByName(copies.select("d", F.lit(-1).cast("int").alias("s"))).groupBy("d").agg(F.collect_list("s").alias("marks"))
-    windows = docs.select("d", "text").join(marks, "d").select("d", "text", "marks").mapInArrow(_window_rows(window), "k1 long, k2 int, d long, pos int")
-    late = later_occurrences(windows, "op1_windows")
+    marks = repeats.unionByName(copies.select("d", "e", F.lit(-1).cast("int").alias("s"))).groupBy("d", "e").agg(F.collect_list("s").alias("marks"))
+    windows = docs.select("d", "e", "text").join(marks, ["d", "e"]).select("d", "e", "text", "marks").mapInArrow(_window_rows(window), "k1 long, k2 int, d long, e long, pos int")
+    late = later_occurrences(windows, "op1_windows", n)
     discard(repeats)
     release(spark)
-    by_doc = late.unionByName(copies).groupBy("d").agg(F.collect_list(F.struct("pos", "sd", "sp")).alias("late"))
-    return docs.join(by_doc, "d", "left").select("doc_id", "text", "late")
+    by_doc = late.unionByName(copies).groupBy("d", "e").agg(F.collect_list(F.struct("pos", "sd", "se", "sp")).alias("late"))
+    return docs.join(by_doc, ["d", "e"], "left").select("doc_id", "text", "late")
 
 
 def rlz_factors(docs: DataFrame, window: int = 20) -> DataFrame:

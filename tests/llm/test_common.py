@@ -23,21 +23,25 @@ def test_words_are_those_of_the_pattern():
 
 def test_later_occurrences_over_many_partitions(spark):
     r = random.Random(4)
-    rows = [(r.choice([1, 2, 3, r.randrange(100)]), 0, r.randrange(300), r.randrange(4)) for _ in range(2000)]
+    rows = [(r.choice([1, 2, 3, r.randrange(100)]), 0, r.randrange(100), r.randrange(3), r.randrange(4)) for _ in range(2000)]
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     try:
-        got = sorted(set(map(tuple, c.later_occurrences(spark.createDataFrame(rows, "k1 long, k2 int, d long, pos int"), "t").select("d", "pos", "sd", "sp").collect())))
-        keys = [(k, d, p) for k, _, d, p in rows]
+        found = list(map(tuple, c.later_occurrences(spark.createDataFrame(rows, "k1 long, k2 int, d long, e long, pos int"), "t").collect()))
+        got = sorted(set(found))
+        keys = [(k, (d, e, p)) for k, _, d, e, p in rows]
         first = {}
-        for k, d, p in keys:
-            first[k] = min(first.get(k, (d, p)), (d, p))
-        assert got == sorted({(d, p, *first[k]) for k, d, p in keys if (d, p) != first[k]})
-        seen = sorted(set(map(tuple, c.repeated_keys(spark.createDataFrame([(k, d, n) for n, (k, d, _) in enumerate(keys)], "a long, d long, s int"), "t").collect())))
+        for k, at in keys:
+            first[k] = min(first.get(k, at), at)
+        assert got == sorted({(*at, *first[k]) for k, at in keys if at != first[k]})
+        assert len(found) <= len({x for x in keys}) + 13  # repeated rows are given once a partition
+        seen = sorted(set(map(tuple, c.repeated_keys(spark.createDataFrame([(k, *at[:2], n) for n, (k, at) in enumerate(keys)], "a long, d long, e long, s int"), "t").collect())))
         count = {}
-        for k, _, _ in keys:
+        for k, _ in keys:
             count[k] = count.get(k, 0) + 1
-        assert seen == sorted((d, n) for n, (k, d, _) in enumerate(keys) if count[k] > 1)
+        assert seen == sorted((*at[:2], n) for n, (k, at) in enumerate(keys) if count[k] > 1)
+        same = c.repeated_keys(spark.createDataFrame([(5, 1, 1, 1)] * 30 + [(6, 2, 2, 2)], "a long, d long, e long, s int"), "t").distinct().collect()
+        assert list(map(tuple, same)) == [(1, 1, 1)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
 

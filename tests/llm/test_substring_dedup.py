@@ -9,26 +9,31 @@ from .conftest import words
 
 
 def brute(rows, window):
-    """What each (doc_id, text) row keeps, by comparing every window."""
-    key = lambda i: (1 << 62) if i is None else i
+    """What each (doc_id, text) row keeps, by comparing every window; texts under one id come in the order of the op's hash."""
+    number = {t: n for n, t in enumerate(sorted({t or "" for _, t in rows}, key=text_order))}
+    key = lambda i, t: ((1 << 63) - 1 if i is None else i, number[t or ""])
     first = {}
-    split = [(i, (t or "").encode().split()) for i, t in rows]
-    for i, ws in split:
+    split = [(i, t, (t or "").encode().split()) for i, t in rows]
+    for i, t, ws in split:
         for p in range(len(ws) - window + 1):
-            k, at = tuple(ws[p : p + window]), (key(i), p)
+            k, at = tuple(ws[p : p + window]), (*key(i, t), p)
             first[k] = min(first.get(k, at), at)
-    late = {}
-    for i, ws in split:
-        for p in range(len(ws) - window + 1):
-            if first[tuple(ws[p : p + window])] != (key(i), p):
-                late.setdefault(key(i), set()).add(p)
     out = []
-    for i, ws in split:
-        gone = {p + x for p in late.get(key(i), ()) for x in range(window)}
+    for i, t, ws in split:
+        late = [p for p in range(len(ws) - window + 1) if first[tuple(ws[p : p + window])] != (*key(i, t), p)]
+        gone = {p + x for p in late for x in range(window)}
         out.append((i, b" ".join(w for p, w in enumerate(ws) if p not in gone).decode()))
     return sorted(out, key=str)
 
 
+def text_order(text):
+    """xxhash64 with Spark's seed, signed."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def run(docs, window):
     return sorted(((r.doc_id, r.kept_text) for r in rlz_factors(docs, window).collect()), key=str)
 
@@ -58,6 +63,14 @@ def test_repeated_rows_and_ids(docs_of):
     assert run(docs_of(rows), 20) == brute(rows, 20)
 
 
+def test_unrelated_texts_of_one_id_keep_their_words(docs_of):
+    a, b, c, d = (" ".join(words(n, 60)) for n in (11, 12, 13, 14))
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (None, d), (None, d), (3, a[50:] + " " + b)]
+    got = run(docs_of(rows), 20)
+    assert got == brute(rows, 20)
+    assert (2, b) in got and (None, c) in got and got.count((None, d)) == 2
+
+
 def test_empty_table(docs_of):
     assert run(docs_of([]), 20) == []
 
@@ -72,8 +85,8 @@ def test_few_words(docs_of, texts):
 def test_parse_checks_factor_boundaries():
     import numpy as np
 
-    pos, sd, sp = np.array([0, 1, 2, 3]), np.array([1, 1, 2, 2]), np.array([7, 8, 0, 1])
-    assert parse(pos, sd, sp, 20) == [(0, 21, 1, 7), (2, 21, 2, 0)]
+    pos, sd, se, sp = np.array([0, 1, 2, 3]), np.array([1, 1, 2, 2]), np.zeros(4, int), np.array([7, 8, 0, 1])
+    assert parse(pos, sd, se, sp, 20) == [(0, 21, 1, 7), (2, 21, 2, 0)]
 
 
 def test_query_digest(spark, docs_of, tmp_path):
