@@ -1,4 +1,4 @@
-"""Connected components of a graph of document ids, by least label with shortcuts."""
+"""Connected components of a graph, by least label with shortcuts."""
 
 from __future__ import annotations
 
@@ -9,18 +9,19 @@ from .common import discard, release, staged
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """edges: a, b (long). One row a node that has an edge: node, label, the least id of its component.
+    """edges: a, b (long or string). One row a node that has an edge: node, label, the least node of its component.
 
     Each round sends labels over the edges and then lets every node take the label of its label, so
     stars and chains shrink geometrically. Messages to a node are reduced before the shuffle (least of
     a task), and both sides of each join are staged tables, so a hub's rows can be split over tasks.
     """
+    kind = edges.schema["a"].dataType
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = staged(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"))), f"{name}_edges")
     labels = staged(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}_labels")
     while True:
         sent = both.join(labels, both.src == labels.node).select(F.col("dst").alias("node"), F.col("label").alias("m"))
-        least = staged(labels.withColumnRenamed("label", "m").select("node", "m", F.col("m").alias("old")).unionByName(sent.select("node", "m", F.lit(None).cast("long").alias("old"))).groupBy("node").agg(F.min("m").alias("label"), F.max("old").alias("old")), f"{name}_sent")
+        least = staged(labels.withColumnRenamed("label", "m").select("node", "m", F.col("m").alias("old")).unionByName(sent.select("node", "m", F.lit(None).cast(kind).alias("old"))).groupBy("node").agg(F.min("m").alias("label"), F.max("old").alias("old")), f"{name}_sent")
         up = least.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         jumped = staged(least.join(up, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"), "old"), f"{name}_labels")
         changed = jumped.where("label <> old").limit(1).count()

@@ -7,19 +7,22 @@ document frequencies are counted over all texts in a hashed table of fixed size,
 1 + mean(idf of its words) / log(1 + number of texts), between 1 and 2 (kept to 1/255).
 
 Improved consistent weighted sampling draws BANDS * ROWS samples a text; texts that agree in all
-samples of a band are candidates (a pair at 0.8 is missed with a chance of 2e-3). Candidates are
-linked to the first text of their band's bucket, and the components of that graph are verified whole:
-within a component every two texts are compared by their weighted Jaccard similarity, in blocks of
-bounded size, as products of token matrices. Large components are split into blocks and pairs of
-blocks, so no task holds more than two, and what a block gives out is a spanning forest of its links,
-never the pairs. Components of the verified links are the classes.
-
-Copies of one text (equal words) are found first and take part once.
-
-Defined cases: null and empty texts, and texts without words, are classes of their own; rows that share
-a doc_id are one document, with the links of all its texts; rows with a null doc_id are told apart by
-their text; ties fall to the least doc_id; an empty table gives no rows; extra columns are ignored by
-`near_classes` and kept by `keep_one`.
+samples of a band share a bucket and are candidates (a pair at 0.8 is missed with a chance of 2e-3).
+Every pair of a bucket that isn't known to be of one class is verified by weighted Jaccard similarity,
+but pairs are never listed: first each text is compared with the first of its bucket, and what links is
+one class. Buckets that still hold two classes go on in rounds: some of their texts, those outside the
+bucket's largest class first, are leaders that all others of the bucket are compared with; after that a
+leader is done with the bucket. The number of leaders grows eightfold a round, so a bucket of true copies
+ends after the first round and one of unlike texts after the logarithm of its size. A bucket's texts are
+dealt over tasks of about GROUP_ROWS texts and at most LEADERS leaders. Components of the links are the
+classes.
+
+Nodes are 128-bit fingerprints of the words, so copies of one text (equal words) take part once.
+
+Defined cases: null and empty texts, and texts without words, are classes of their own and all stay;
+different texts under one doc_id, or none, are documents of their own; rows equal in doc_id and text
+are copies; a class is named by its least doc_id (by a negative number from its text where it has none);
+an empty table gives no rows; extra columns are ignored by `near_classes` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -31,17 +34,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, gram_hash, later_occurrences, mix, release, signed, staged, stream, table, text_slices
+from .common import NULL_KEY, WORD, Words, discard, doc_key, gram_hash, later_occurrences, mix, release, row_hash, signed, staged, stream, table, tasks_for, text_slices
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 9, 3
+BANDS, ROWS = 12, 4
 DF_BITS = 18
-#: Texts and words that a block of a component holds, about.
-BLOCK_DOCS, BLOCK_WORDS = 400, 600_000
+#: Texts that a group of a bucket holds, about, and leaders that they are compared with, at most.
+GROUP_ROWS, LEADERS = 256, 32
+#: How many times more leaders each round takes.
+GROWTH = 8
 
 _STEPS = 1 << 16
 
@@ -57,10 +63,6 @@ _GAMMA = _gamma_table()
 _LOG_GAMMA = np.log(_GAMMA)
 
 
-def _key() -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") / 2).cast("long") - 1)
-
-
 class Shingles:
     """The different shingles of some rows: row, 64-bit hash, count and weight, by row."""
 
@@ -153,13 +155,12 @@ def idf_table(docs: DataFrame) -> np.ndarray:
 
 
 def _sketch_rows(shared):
-    names = ["d", "k1", "k2", "n_words", "bands"]
+    names = ["d", "e", "f1", "f2", "n_words", "bands"]
 
     def run(batches):
         idf = shared.value
         band = stream(BANDS, 34)
         for b in batches:
-            ids = b.column("d")
             for i, j, data, offs in text_slices(b.column("text")):
                 s = Shingles(data, offs, idf)
                 n = j - i
@@ -169,17 +170,14 @@ def _sketch_rows(shared):
                     for q in range(ROWS):
                         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, q])
                 raw = data.tobytes()
-                whole = np.array([np.frombuffer(hashlib.blake2b(b" ".join(raw[offs[r] : offs[r + 1]].split()), digest_size=12).digest(), np.uint8) for r in range(n)])
-                k1 = whole[:, :8].copy().view(np.int64)[:, 0]
-                k2 = whole[:, 8:].copy().view(np.int32)[:, 0]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(k1), pa.array(k2), pa.array(s.words.counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(signed(keys.reshape(-1))))], names=names)
+                whole = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(raw[offs[r] : offs[r + 1]].split()), digest_size=16).digest() for r in range(n)), np.int64).reshape(n, 2)
+                own = [b.column(c).slice(i, n) for c in ("d", "e")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), pa.array(s.words.counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(signed(keys.reshape(-1))))], names=names)
 
     return run
 
 
 def _token_rows(shared):
-    names = ["d", "comp", "blocks", "block", "tokens", "weights"]
-
     def run(batches):
         idf = shared.value
         for b in batches:
@@ -197,161 +195,188 @@ def _token_rows(shared):
                         w = np.repeat(w, c)
                     else:
                         h = mix(h)
-                    tokens.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
-                    weights.append(w.tobytes())
-                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in names[:4]), pa.array(tokens, pa.binary()), pa.array(weights, pa.binary())], names=names)
+                    # two tokens of a text that share 32 bits count as one
+                    kept, at = np.unique((h >> np.uint64(32)).astype(np.uint32), return_index=True)
+                    tokens.append(kept.tobytes())
+                    weights.append(w[at].tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("fp").slice(i, j - i), pa.array(tokens, pa.binary()), pa.array(weights, pa.binary())], names=["fp", "tokens", "weights"])
 
     return run
 
 
-def block_links(tokens: list[np.ndarray], weights: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Boolean matrix: which texts of left and right (indexes) are similar enough."""
-    total = np.array([w.sum() for w in weights])
-    size = np.array([len(t) for t in tokens])
-    flat, flat_w = np.concatenate(tokens), np.concatenate(weights)
-    row = np.repeat(np.arange(len(tokens)), size)
-    vocab, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = counts[inverse] > 1
-    col = (np.cumsum(counts > 1) - 1)[inverse][shared]
-    row, w = row[shared], flat_w[shared]
-    place = np.full(len(tokens), -1)
-    common = np.zeros((len(left), len(right)), np.float32)
-    width = max(256, 4_000_000 // max(1, len(left) + len(right)))
-    order = np.argsort(col, kind="stable")
-    col, row, w = col[order], row[order], w[order]
-    n = int((counts > 1).sum())
-    for c in range(0, n, width):
-        lo, hi = np.searchsorted(col, (c, c + width))
-        x = np.zeros((len(left), min(width, n - c)), np.float32)
-        y = x if right is left else np.zeros((len(right), x.shape[1]), np.float32)
-        place[:] = -1
-        place[left] = np.arange(len(left))
-        at = place[row[lo:hi]]
-        own = at >= 0
-        x[at[own], col[lo:hi][own] - c] = np.sqrt(w[lo:hi][own])
-        if right is not left:
-            place[:] = -1
-            place[right] = np.arange(len(right))
-            at = place[row[lo:hi]]
-            own = at >= 0
-            y[at[own], col[lo:hi][own] - c] = np.sqrt(w[lo:hi][own])
-        common += x @ y.T
-    union = total[left][:, None] + total[right][None, :] - common
-    return common >= (similarity - 1e-5) * union
-
-
-def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between texts, as pairs of indexes."""
-    parent = np.arange(n)
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i in range(len(left)):
-        for j in np.flatnonzero(links[i]):
-            a, b = root(left[i]), root(right[j])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((int(left[i]), int(right[j])))
+class Leader:
+    """A text that others are compared with."""
+
+    __slots__ = ("fp", "label", "tokens", "total")
+
+    def __init__(self, fp: str, label: str, tokens: np.ndarray, total: float):
+        self.fp, self.label, self.tokens, self.total = fp, label, tokens, total
+
+
+class Batch:
+    """Some texts of one group: sorted tokens one after another, with their weights."""
+
+    def __init__(self, fps: list[str], labels: list[str], tokens: list[bytes], weights: list[bytes]):
+        self.fps, self.labels = fps, labels
+        self.sizes = np.array([len(w) for w in weights], np.int64)
+        self.tokens = np.frombuffer(b"".join(tokens), np.uint32)
+        self.weights = 1 + np.frombuffer(b"".join(weights), np.uint8) / 255.0
+        self.row = np.repeat(np.arange(len(fps)), self.sizes)
+        self.totals = np.bincount(self.row, weights=self.weights, minlength=len(fps))
+
+    def alike(self, leader: Leader, similarity: float = SIMILARITY) -> np.ndarray:
+        """Which texts, of another class than the leader's, are similar enough."""
+        floor = similarity - 1e-5
+        wanted = np.array([x != leader.label for x in self.labels], bool)
+        wanted &= np.minimum(self.totals, leader.total) >= floor * np.maximum(self.totals, leader.total)
+        if not wanted.any() or not len(leader.tokens):
+            return np.zeros(len(self.fps), bool)
+        pick = wanted[self.row] if wanted.mean() < 0.5 else slice(None)
+        tokens, weights, row = self.tokens[pick], self.weights[pick], self.row[pick]
+        at = np.searchsorted(leader.tokens, tokens)
+        at[at == len(leader.tokens)] = 0
+        hit = leader.tokens[at] == tokens
+        common = np.bincount(row[hit], weights=weights[hit], minlength=len(self.fps))
+        return wanted & (common >= floor * (self.totals + leader.total - common))
+
+
+def group_links(leaders: list[Leader], batch: Batch, similarity: float = SIMILARITY) -> list[tuple[str, str]]:
+    """Links that join what is similar: each text to one leader, and leaders that have a text in common."""
+    mine: list[int | None] = [None] * len(batch.fps)
+    out, joined = [], set()
+    for n, leader in enumerate(leaders):
+        for r in np.flatnonzero(batch.alike(leader, similarity)).tolist():
+            if mine[r] is None:
+                mine[r] = n
+                out.append((batch.fps[r], leader.fp))
+            elif (mine[r], n) not in joined:
+                joined.add((mine[r], n))
+                out.append((leaders[mine[r]].fp, leader.fp))
     return out
 
 
-def _verify_group(d, block, first, second, tokens, weights) -> pa.RecordBatch | None:
-    ids, at = np.unique(d, return_index=True)
-    if len(at) < len(d):  # several texts of one doc_id: compare each, link by id
-        at = np.arange(len(d))
-    t = [np.frombuffer(tokens[x].as_py(), np.uint32) for x in at]
-    w = [1 + np.frombuffer(weights[x].as_py(), np.uint8).astype(np.float32) / 255 for x in at]
-    t, w = zip(*[(a, b) if len(np.unique(a)) == len(a) else _merged(a, b) for a, b in zip(t, w, strict=True)], strict=True)
-    own = block[at]
-    if first == second:
-        left = right = np.arange(len(at))
-    else:
-        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
-    if not len(left) or not len(right):
-        return None
-    pairs = forest(block_links(list(t), list(w), left, right), left, right, len(at))
-    pairs = [(int(d[at[a]]), int(d[at[b]])) for a, b in pairs]
-    if not pairs:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-
-def _merged(tokens: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two tokens of a text that share 32 bits count as one."""
-    kept, at = np.unique(tokens, return_index=True)
-    return kept, weights[at]
-
-
 def _verify_rows(batches):
-    held = None  # (key, columns so far)
+    key, leaders = None, []
     for b in batches:
-        if not b.num_rows:
+        n = b.num_rows
+        if not n:
             continue
-        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("comp", "i", "j")], 1)
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))), b.num_rows)
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            key, part = tuple(keys[lo]), b.slice(int(lo), int(hi - lo))
-            if held is not None and held[0] == key:
-                held[1].append(part)
-                continue
-            if held is not None and (out := _verified(*held)) is not None:
-                yield out
-            held = (key, [part])
-    if held is not None and (out := _verified(*held)) is not None:
-        yield out
-
-
-def _verified(key, parts):
-    t = pa.Table.from_batches(parts).combine_chunks()
-    if t.num_rows < 2:
+        groups = list(zip(*(b.column(c).to_pylist() for c in ("g", "salt", "block", "other")), strict=True))
+        fps, labels, tokens, weights = (b.column(c).to_pylist() for c in ("fp", "label", "tokens", "weights"))
+        links, i = [], 0
+        while i < n:
+            j = i + 1
+            while j < n and groups[j] == groups[i]:
+                j += 1
+            if groups[i][:3] != key:
+                key, leaders = groups[i][:3], []
+            part = Batch(fps[i:j], labels[i:j], tokens[i:j], weights[i:j])
+            if groups[i][3] == 0:
+                ends = np.cumsum(part.sizes)
+                leaders += [Leader(part.fps[r], part.labels[r], part.tokens[ends[r] - part.sizes[r] : ends[r]], part.totals[r]) for r in range(j - i)]
+            else:
+                links += group_links(leaders, part)
+            i = j
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], names=["a", "b"])
+
+
+def _node(a: str, b: str):
+    """A fingerprint as a string whose order is that of its two halves."""
+    return F.concat(*[F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0") for c in (a, b)])
+
+
+def _verified(groups: DataFrame, tokens: DataFrame, n: int, name: str) -> DataFrame:
+    """groups: g string, salt int, block int, other int (0: leader), fp, label. Staged links a, b."""
+    keys = ["g", "salt", "block"]
+    full = groups.join(tokens, "fp").select(*keys, "other", "fp", "label", "tokens", "weights")
+    return staged(full.repartition(n, *keys).sortWithinPartitions(*keys, "other", "fp").mapInArrow(_verify_rows, "a string, b string"), name)
+
+
+def _first_links(pairs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
+    """pairs: a, b. Each text against the first of its buckets."""
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("salts"))
+    rows = pairs.join(sizes, "b").select(F.col("b").alias("g"), F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(1).alias("other"), F.col("a").alias("fp"))
+    heads = sizes.select(F.col("b").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("other"), F.col("b").alias("fp"))
+    return _verified(rows.unionByName(heads).select("*", F.lit(0).alias("block"), F.col("fp").alias("label")), tokens, n, "op2_links")
+
+
+def _round(items: DataFrame, labels: DataFrame, tokens: DataFrame, most: int, n: int):
+    """items: k, fp. (links, items that are left), or None where every bucket is of one class."""
+    tagged = items.join(labels, F.col("fp") == F.col("node"), "left").select("k", "fp", F.coalesce("label", "fp").alias("label"))
+    classes = tagged.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = staged(classes.groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label"))["label"].alias("largest")).where("classes > 1").select(F.col("k").alias("_k"), "n", "largest"), "op2_mixed")
+    if not mixed.limit(1).count():
+        discard(mixed)
         return None
-    return _verify_group(t.column("d").to_numpy(), t.column("block").to_numpy(), key[1], key[2], t.column("tokens"), t.column("weights"))
+    rows = staged(tagged.join(mixed, F.col("k") == F.col("_k")).select("k", "fp", "label", "n", (F.col("label") == F.col("largest")).alias("common"), F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("salts")), "op2_open")
+    place = F.row_number().over(Window.partitionBy("k").orderBy("common", "fp"))
+    heads = staged(rows.withColumn("p", place).where(F.col("p") <= most).select("k", "fp", "label", "salts", F.floor((F.col("p") - 1) / LEADERS).cast("int").alias("block")), "op2_leaders")
+    blocks = F.ceil(F.least(F.col("n"), F.lit(most)) / LEADERS).cast("int")
+    g = F.col("k").cast("string").alias("g")
+    others = rows.select(g, F.pmod(F.xxhash64("fp"), "salts").cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("other"), "fp", "label")
+    leaders = heads.select(g, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "block", F.lit(0).alias("other"), "fp", "label")
+    links = _verified(others.unionByName(leaders), tokens, n, "op2_links")
+    left = staged(rows.select("k", "fp").join(heads.select("k", "fp"), ["k", "fp"], "left_anti"), "op2_items")
+    for x in (mixed, rows, heads):
+        discard(x)
+    return links, left
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """One row a different doc_id key: d (doc_id, or a negative stand-in for a null one) and class_id; staged tables."""
+    """One row a document (d, e: key of its doc_id and hash of its text) that isn't the first of its class: d, e, class_id."""
     spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(_key().alias("d"), F.col("text"))
+    n = tasks_for(docs)
+    texts = docs.select(doc_key().alias("d"), row_hash().alias("e"), F.col("text"))
     shared = spark.sparkContext.broadcast(idf_table(docs))  # 1 MB, whatever the input
-    sketches = staged(texts.mapInArrow(_sketch_rows(shared), "d long, k1 long, k2 int, n_words long, bands array<long>"), "op2_sketches")
-    worded = sketches.where("n_words > 0")
-    copies = later_occurrences(worded.select("k1", "k2", "d", F.lit(0).alias("pos")), "op2_copies").select("d", F.col("sd").alias("first")).distinct()
-    copies = staged(copies, "op2_copy_pairs")
-    reps = staged(worded.join(copies.select("d"), "d", "left_anti").dropDuplicates(["d", "k1", "k2"]).select("d", "n_words", "bands"), "op2_texts")
-    buckets = reps.select("d", F.posexplode("bands").alias("k2", "k1")).select("k1", "k2", "d", F.lit(0).alias("pos"))
-    near = later_occurrences(buckets, "op2_buckets").select(F.col("d").alias("a"), F.col("sd").alias("b"))
-    candidates = components(near, "op2_candidates")
-    members = staged(reps.groupBy("d").agg(F.sum("n_words").alias("n_words")).join(candidates, F.col("d") == F.col("node")).select("d", "n_words", F.col("label").alias("comp")), "op2_members")
-    sizes = staged(members.groupBy("comp").agg(F.greatest(F.ceil(F.count("d") / BLOCK_DOCS), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks")).select(F.col("comp").alias("_c"), "blocks"), "op2_sizes")
-    placed = staged(members.join(sizes, F.col("comp") == F.col("_c")).select("d", "comp", "blocks", F.pmod(F.xxhash64("d"), "blocks").cast("int").alias("block")), "op2_placed")
+    sketches = staged(texts.mapInArrow(_sketch_rows(shared), "d long, e long, f1 long, f2 long, n_words long, bands array<long>").where("n_words > 0"), "op2_sketches")
+    firsts = staged(sketches.dropDuplicates(["f1", "f2"]).select("d", "e", "f1", "f2", "bands"), "op2_texts")
+    buckets = firsts.select(F.explode("bands").alias("k1"), F.lit(0).alias("k2"), F.col("f1").alias("d"), F.col("f2").alias("e"), F.lit(0).alias("pos"))
+    near = later_occurrences(buckets, "op2_buckets", n)
+    pairs = staged(near.select(_node("d", "e").alias("a"), _node("sd", "se").alias("b")).distinct(), "op2_pairs")
+    discard(near)
+    members = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    known = staged(firsts.withColumn("fp", _node("f1", "f2")).join(members, "fp").select("fp", "d", "e", "bands"), "op2_members")
+    discard(firsts)
+    # one join strategy at every size: both sides by document
+    own = texts.hint("merge").join(known.select("fp", "d", "e"), ["d", "e"]).select("fp", "text")
+    tokens = staged(own.mapInArrow(_token_rows(shared), "fp string, tokens binary, weights binary").dropDuplicates(["fp"]), "op2_tokens")
     release(spark)
-    # one join strategy at every size: both sides by d
-    tokens = texts.hint("merge").join(placed, "d").select("d", "text", "comp", "blocks", "block").mapInArrow(_token_rows(shared), "d long, comp long, blocks int, block int, tokens binary, weights binary")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = tokens.select("d", "comp", "block", "tokens", "weights", F.explode(pairs).alias("p")).select("d", "comp", "block", "tokens", "weights", "p.i", "p.j")
-    links = staged(dealt.repartition(n_parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verify_rows, "a long, b long"), "op2_links")
+    links = _first_links(pairs, tokens, n)
+    labels = components(links, "op2_classes")
+    items, most = known.select(F.explode("bands").alias("k"), "fp"), GROWTH
+    while (found := _round(items, labels, tokens, most, n)) is not None:
+        links, items, most = links.unionByName(found[0]), found[1], most * GROWTH
+        labels = components(links, "op2_classes")
+        release(spark)
+    discard(tokens)
+    named = sketches.select("d", "e", _node("f1", "f2").alias("fp")).join(labels, F.col("fp") == F.col("node"), "left")
+    key = F.coalesce("label", "fp")
+    placed = later_occurrences(named.select(F.xxhash64(key).alias("k1"), F.hash(key).alias("k2"), "d", "e", F.lit(0).alias("pos")), "op2_placed", n)
     release(spark)
-    # copies hang on their first text, links between texts join the firsts
-    merged = components(links.unionByName(copies.select(F.col("d").alias("a"), F.col("first").alias("b"))), "op2_classes")
-    return merged.select(F.col("node").alias("d"), F.col("label").alias("class_id"))
+    return placed.select("d", "e", _class_name("sd", "se").alias("class_id")).distinct()
+
+
+def _class_name(d: str, e: str):
+    """The doc_id of a class's first document, or a negative number from its text."""
+    return F.when(F.col(d) != NULL_KEY, F.col(d)).otherwise(-F.shiftrightunsigned(F.col(e), 1) - 1)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one document of each class: that of the least doc_id (of rows that share it, the first by text)."""
-    dropped = staged(near_classes(docs).where("d <> class_id").select(F.col("d").alias("__d")), "op2_dropped")
-    left = docs.withColumn("__d", _key()).hint("merge").join(dropped, "__d", "left_anti")
-    first = F.row_number().over(Window.partitionBy("__d").orderBy("text"))
-    return left.withColumn("__n", first).where("__n = 1").select(docs.columns)
+    """The rows of docs, one document of each class, that of the least doc_id; rows without a word all stay."""
+    dropped = staged(near_classes(docs).select(F.col("d").alias("__d"), F.col("e").alias("__e")), "op2_dropped")
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    order = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    # of rows equal in doc_id and text one stays; this is cut down in each task before the shuffle
+    once = F.row_number().over(Window.partitionBy("__d", "__e").orderBy(*order))
+    keyed = docs.where(worded).withColumns({"__d": doc_key(), "__e": row_hash()}).withColumn("__n", once).where("__n = 1")
+    left = keyed.hint("merge").join(dropped, ["__d", "__e"], "left_anti")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(~worded))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    classes = near_classes(docs).withColumnRenamed("d", "_d")
-    ids = docs.select("doc_id", _key().alias("d"))
-    return ids.join(classes, F.col("d") == F.col("_d"), "left").select("doc_id", F.coalesce("class_id", "d").alias("class_id"))
+    classes = near_classes(docs).select(F.col("d").alias("_d"), F.col("e").alias("_e"), "class_id")
+    rows = docs.select("doc_id", doc_key().alias("d"), row_hash().alias("e"))
+    found = rows.join(classes, (F.col("d") == F.col("_d")) & (F.col("e") == F.col("_e")), "left")
+    return found.select("doc_id", F.coalesce("class_id", _class_name("d", "e")).alias("class_id"))
