@@ -12,7 +12,7 @@ Every pair of a bucket that isn't known to be of one class is verified by weight
 but pairs are never listed: first each text is compared with the first of its bucket, and what links is
 one class. Buckets that still hold two classes go on in rounds: some of their texts, those outside the
 bucket's largest class first, are leaders that all others of the bucket are compared with; after that a
-leader is done with the bucket. The number of leaders grows eightfold a round, so a bucket of true copies
+leader is done with the bucket. The number of leaders grows by a factor each round, so a bucket of true copies
 ends after the first round and one of unlike texts after the logarithm of its size. A bucket's texts are
 dealt over tasks of about GROUP_ROWS texts and at most LEADERS leaders. Components of the links are the
 classes.
@@ -46,8 +46,8 @@ BANDS, ROWS = 12, 4
 DF_BITS = 18
 #: Texts that a group of a bucket holds, about, and leaders that they are compared with, at most.
 GROUP_ROWS, LEADERS = 256, 32
-#: How many times more leaders each round takes.
-GROWTH = 8
+#: Leaders of a bucket in the first round after that of first texts, and how many times more each round takes.
+FIRST_LEADERS, GROWTH = 64, 16
 
 _STEPS = 1 << 16
 
@@ -290,7 +290,8 @@ def _verified(groups: DataFrame, tokens: DataFrame, n: int, name: str) -> DataFr
     """groups: g string, salt int, block int, other int (0: leader), fp, label. Staged links a, b."""
     keys = ["g", "salt", "block"]
     full = groups.join(tokens, "fp").select(*keys, "other", "fp", "label", "tokens", "weights")
-    return staged(full.repartition(n, *keys).sortWithinPartitions(*keys, "other", "fp").mapInArrow(_verify_rows, "a string, b string"), name)
+    dealt = full.repartition(n, *keys) if n > int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")) else full.repartition(*keys)  # small ones are put together
+    return staged(dealt.sortWithinPartitions(*keys, "other", "fp").mapInArrow(_verify_rows, "a string, b string"), name)
 
 
 def _first_links(pairs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
@@ -344,7 +345,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     release(spark)
     links = _first_links(pairs, tokens, n)
     labels = components(links, "op2_classes")
-    items, most = known.select(F.explode("bands").alias("k"), "fp"), GROWTH
+    items, most = known.select(F.explode("bands").alias("k"), "fp"), FIRST_LEADERS
     while (found := _round(items, labels, tokens, most, n)) is not None:
         links, items, most = links.unionByName(found[0]), found[1], most * GROWTH
         labels = components(links, "op2_classes")

@@ -105,6 +105,7 @@ def test_unlike_texts_of_one_bucket_against_brute_force(docs_of, monkeypatch):
     """A passage that all texts share puts unlike texts into one bucket; small groups and few leaders make many rounds."""
     monkeypatch.setattr(m, "GROUP_ROWS", 7)
     monkeypatch.setattr(m, "LEADERS", 2)
+    monkeypatch.setattr(m, "FIRST_LEADERS", 3)
     monkeypatch.setattr(m, "GROWTH", 3)
     r, passage, texts = random.Random(3), words(40, 60), []
     for f in range(12):  # families of copies around one passage, with some between 0.7 and 0.9
@@ -124,8 +125,8 @@ def test_recall_on_a_thousand_near_pairs(docs_of):
         pairs.append((2 * f, 2 * f + 1))
         rows += [(2 * f, " ".join(base)), (2 * f + 1, " ".join(other))]
     sets = weighted([t for _, t in rows])
-    near = [(a, b) for a, b in pairs if similarity(sets[a], sets[b]) >= m.SIMILARITY + 1e-3]
-    far = [(a, b) for a, b in pairs if similarity(sets[a], sets[b]) < m.SIMILARITY - 1e-3]
+    near = [(a, b) for a, b in pairs if similarity(sets[a], sets[b]) >= m.SIMILARITY + 0.01]
+    far = [(a, b) for a, b in pairs if similarity(sets[a], sets[b]) < m.SIMILARITY - 0.01]
     got = classes(docs_of(rows, extra=False))
     assert len(near) >= 1000 and len(far) >= 100
     assert sum(got.get(b) == a for a, b in near) >= 0.99 * len(near)
