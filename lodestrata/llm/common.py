@@ -67,8 +67,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; one in fewer splits than there are cores, as a single small file is, is dealt over all of them."""
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() * 2 > cores else rows.repartition(cores)
 
 
 def tasks_for(df: DataFrame, per: int = 1) -> int:
