@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, Words, doc_key, hash_spans, row_hash, staged, table, tasks_for
 
 SECTION = 8
-PIECE = 8
+PIECE = 16
 #: Kinds of nodes; a leaf has its number of words, MOST_WORDS at most.
 SECTION_NODE, PARAGRAPH_NODE, MOST_WORDS = 255, 254, 200
 

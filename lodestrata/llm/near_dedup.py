@@ -9,13 +9,13 @@ document frequencies are counted over all texts in a hashed table of fixed size,
 Improved consistent weighted sampling draws BANDS * ROWS samples a text; texts that agree in all
 samples of a band share a bucket and are candidates (a pair at 0.8 is missed with a chance of 2e-3).
 Every pair of a bucket that isn't known to be of one class is verified by weighted Jaccard similarity,
-but pairs are never listed: first each text is compared with the first of its bucket, and what links is
-one class. Buckets that still hold two classes go on in rounds: some of their texts, those outside the
-bucket's largest class first, are leaders that all others of the bucket are compared with; after that a
-leader is done with the bucket. The number of leaders grows by a factor each round, so a bucket of true copies
-ends after the first round and one of unlike texts after the logarithm of its size. A bucket's texts are
-dealt over tasks of about GROUP_ROWS texts and at most LEADERS leaders. Components of the links are the
-classes.
+but pairs are never listed. First each text is compared with the first of its bucket, then with a few
+leaders of it; what links is one class. Texts of buckets that still hold two classes are sampled anew,
+in more and finer bands, so that unlike texts that met by a common passage part (a pair at 0.8 is missed
+with a chance of 6e-4 here). Buckets of one class are done; in the others some texts outside the
+bucket's largest class are leaders that all are compared with, and then are done with the bucket;
+rounds go on, each with more leaders, until no bucket has two classes. A bucket's texts are dealt over
+tasks of about GROUP_ROWS texts and at most LEADERS leaders. Components of the links are the classes.
 
 Nodes are 128-bit fingerprints of the words, so copies of one text (equal words) take part once.
 
@@ -43,11 +43,14 @@ from .components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
+FINE_BANDS, FINE_ROWS = 40, 8
 DF_BITS = 18
 #: Texts that a group of a bucket holds, about, and leaders that they are compared with, at most.
 GROUP_ROWS, LEADERS = 256, 32
-#: Leaders of a bucket in the first round after that of first texts, and how many times more each round takes.
-FIRST_LEADERS, GROWTH = 64, 16
+#: Leaders of a bucket in the round after that of first texts, and in the first round of finer bands; how many times more each further round takes.
+FEW_LEADERS, FIRST_LEADERS, GROWTH = 8, 32, 16
+#: Buckets of more than one group are broadcast up to this number of them, else joined.
+MOST_HOT = 50_000
 
 _STEPS = 1 << 16
 
@@ -154,21 +157,26 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     return (np.clip(np.log((1 + n) / (1 + counts)), 0, None) / top).astype(np.float32)
 
 
+def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """n x bands keys of n x (bands * rows) samples."""
+    sig = sig.reshape(len(sig), bands, rows)
+    keys = stream(bands, 34)[None, :] + np.zeros((len(sig), 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for q in range(rows):
+            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, q])
+    return keys
+
+
 def _sketch_rows(shared):
     names = ["d", "e", "f1", "f2", "n_words", "bands"]
 
     def run(batches):
         idf = shared.value
-        band = stream(BANDS, 34)
         for b in batches:
             for i, j, data, offs in text_slices(b.column("text")):
                 s = Shingles(data, offs, idf)
                 n = j - i
-                sig = signatures(s, n, BANDS * ROWS).reshape(n, BANDS, ROWS)
-                with np.errstate(over="ignore"):
-                    keys = band[None, :] + np.zeros((n, 1), np.uint64)
-                    for q in range(ROWS):
-                        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, q])
+                keys = _band_keys(signatures(s, n, BANDS * ROWS), BANDS, ROWS)
                 raw = data.tobytes()
                 whole = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(raw[offs[r] : offs[r + 1]].split()), digest_size=16).digest() for r in range(n)), np.int64).reshape(n, 2)
                 own = [b.column(c).slice(i, n) for c in ("d", "e")]
@@ -204,6 +212,27 @@ def _token_rows(shared):
     return run
 
 
+class Tokens:
+    """Texts given by tokens and weights, as `signatures` takes shingles."""
+
+    def __init__(self, tokens: list[bytes], weights: list[bytes]):
+        sizes = np.array([len(w) for w in weights], np.int64)
+        self.row = np.repeat(np.arange(len(weights)), sizes)
+        self.hash = mix(np.frombuffer(b"".join(tokens), np.uint32).astype(np.uint64) + np.uint64(1))
+        self.idf = np.frombuffer(b"".join(weights), np.uint8)
+        self.count = np.ones(len(self.hash), np.int64)
+
+
+def _fine_rows(batches):
+    for b in batches:
+        n = b.num_rows
+        for i in range(0, n, 50):
+            part = b.slice(i, min(50, n - i))
+            fps = part.column("fp").to_pylist()
+            keys = _band_keys(signatures(Tokens(part.column("tokens").to_pylist(), part.column("weights").to_pylist()), len(fps), FINE_BANDS * FINE_ROWS), FINE_BANDS, FINE_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), pa.array([f for f in fps for _ in range(FINE_BANDS)])], names=["k", "fp"])
+
+
 class Leader:
     """A text that others are compared with."""
 
@@ -294,26 +323,41 @@ def _verified(groups: DataFrame, tokens: DataFrame, n: int, name: str) -> DataFr
     return staged(dealt.sortWithinPartitions(*keys, "other", "fp").mapInArrow(_verify_rows, "a string, b string"), name)
 
 
+def _salted(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with `salts`, how many groups their key's rows make, and one row a key: key, salts."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("salts"))
+    hot = sizes.where("salts > 1").withColumnRenamed(key, "_hot")
+    bounded = hot.limit(MOST_HOT + 1).count() <= MOST_HOT
+    out = rows.join(F.broadcast(hot) if bounded else hot, F.col(key) == F.col("_hot"), "left").drop("_hot")
+    return out.withColumn("salts", F.coalesce("salts", F.lit(1))), sizes
+
+
 def _first_links(pairs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
     """pairs: a, b. Each text against the first of its buckets."""
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("salts"))
-    rows = pairs.join(sizes, "b").select(F.col("b").alias("g"), F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(1).alias("other"), F.col("a").alias("fp"))
+    salted, sizes = _salted(pairs, "b")
+    rows = salted.select(F.col("b").alias("g"), F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(1).alias("other"), F.col("a").alias("fp"))
     heads = sizes.select(F.col("b").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("other"), F.col("b").alias("fp"))
     return _verified(rows.unionByName(heads).select("*", F.lit(0).alias("block"), F.col("fp").alias("label")), tokens, n, "op2_links")
 
 
-def _round(items: DataFrame, labels: DataFrame, tokens: DataFrame, most: int, n: int):
-    """items: k, fp. (links, items that are left), or None where every bucket is of one class."""
+def _mixed(items: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """items: k, fp. The items with their labels, and the buckets of two classes or more; None without any."""
     tagged = items.join(labels, F.col("fp") == F.col("node"), "left").select("k", "fp", F.coalesce("label", "fp").alias("label"))
     classes = tagged.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = staged(classes.groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label"))["label"].alias("largest")).where("classes > 1").select(F.col("k").alias("_k"), "n", "largest"), "op2_mixed")
-    if not mixed.limit(1).count():
-        discard(mixed)
-        return None
-    rows = staged(tagged.join(mixed, F.col("k") == F.col("_k")).select("k", "fp", "label", "n", (F.col("label") == F.col("largest")).alias("common"), F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("salts")), "op2_open")
-    place = F.row_number().over(Window.partitionBy("k").orderBy("common", "fp"))
-    heads = staged(rows.withColumn("p", place).where(F.col("p") <= most).select("k", "fp", "label", "salts", F.floor((F.col("p") - 1) / LEADERS).cast("int").alias("block")), "op2_leaders")
-    blocks = F.ceil(F.least(F.col("n"), F.lit(most)) / LEADERS).cast("int")
+    mixed = staged(classes.groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label")).alias("top")).where("classes > 1").select(F.col("k").alias("_k"), "n", F.col("top.label").alias("largest"), (F.col("n") - F.col("top.n")).alias("rest")), "op2_mixed")
+    if mixed.limit(1).count():
+        return tagged, mixed
+    discard(mixed)
+    return None
+
+
+def _round(tagged: DataFrame, mixed: DataFrame, tokens: DataFrame, most: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the buckets' next leaders, and the items that are left."""
+    rows = staged(tagged.join(mixed, F.col("k") == F.col("_k")).select("k", "fp", "label", "rest", (F.col("label") == F.col("largest")).alias("common"), F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("salts")), "op2_open")
+    # texts of the largest class need be no leaders: the others are compared with them
+    place = F.row_number().over(Window.partitionBy("k").orderBy("fp"))
+    heads = staged(rows.where(~F.col("common")).withColumn("p", place).where(F.col("p") <= most).select("k", "fp", "label", "salts", F.floor((F.col("p") - 1) / LEADERS).cast("int").alias("block")), "op2_leaders")
+    blocks = F.ceil(F.least(F.col("rest"), F.lit(most)) / LEADERS).cast("int")
     g = F.col("k").cast("string").alias("g")
     others = rows.select(g, F.pmod(F.xxhash64("fp"), "salts").cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("other"), "fp", "label")
     leaders = heads.select(g, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "block", F.lit(0).alias("other"), "fp", "label")
@@ -324,6 +368,30 @@ def _round(items: DataFrame, labels: DataFrame, tokens: DataFrame, most: int, n:
     return links, left
 
 
+def _resolve(links: DataFrame, items: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
+    """node, label of all texts that have a link, from those of the first round on."""
+    labels = components(links, "op2_classes")
+    found = _mixed(items, labels)
+    if found is None:
+        return labels
+    more, _ = _round(*found, tokens, FEW_LEADERS, n)
+    links = links.unionByName(more)
+    labels = components(links, "op2_classes")
+    found = _mixed(items, labels)
+    if found is None:
+        return labels
+    tagged, mixed = found
+    texts = tagged.join(mixed, F.col("k") == F.col("_k")).select("fp").distinct()
+    fine = tokens.join(texts, "fp", "left_semi").select("fp", "tokens", "weights").mapInArrow(_fine_rows, "k long, fp string")
+    items, most = staged(fine, "op2_fine"), FIRST_LEADERS
+    while (found := _mixed(items, labels)) is not None:
+        more, items = _round(*found, tokens, most, n)
+        links, most = links.unionByName(more), most * GROWTH
+        labels = components(links, "op2_classes")
+        release(links.sparkSession)
+    return labels
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row a document (d, e: key of its doc_id and hash of its text) that isn't the first of its class: d, e, class_id."""
     spark = docs.sparkSession
@@ -344,12 +412,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     tokens = staged(own.mapInArrow(_token_rows(shared), "fp string, tokens binary, weights binary").dropDuplicates(["fp"]), "op2_tokens")
     release(spark)
     links = _first_links(pairs, tokens, n)
-    labels = components(links, "op2_classes")
-    items, most = known.select(F.explode("bands").alias("k"), "fp"), FIRST_LEADERS
-    while (found := _round(items, labels, tokens, most, n)) is not None:
-        links, items, most = links.unionByName(found[0]), found[1], most * GROWTH
-        labels = components(links, "op2_classes")
-        release(spark)
+    labels = _resolve(links, known.select(F.explode("bands").alias("k"), "fp"), tokens, n)
     discard(tokens)
     named = sketches.select("d", "e", _node("f1", "f2").alias("fp")).join(labels, F.col("fp") == F.col("node"), "left")
     key = F.coalesce("label", "fp")

@@ -105,8 +105,9 @@ def test_unlike_texts_of_one_bucket_against_brute_force(docs_of, monkeypatch):
     """A passage that all texts share puts unlike texts into one bucket; small groups and few leaders make many rounds."""
     monkeypatch.setattr(m, "GROUP_ROWS", 7)
     monkeypatch.setattr(m, "LEADERS", 2)
-    monkeypatch.setattr(m, "FIRST_LEADERS", 3)
-    monkeypatch.setattr(m, "GROWTH", 3)
+    monkeypatch.setattr(m, "FEW_LEADERS", 1)
+    monkeypatch.setattr(m, "FIRST_LEADERS", 2)
+    monkeypatch.setattr(m, "GROWTH", 2)
     r, passage, texts = random.Random(3), words(40, 60), []
     for f in range(12):  # families of copies around one passage, with some between 0.7 and 0.9
         base = passage + words(50 + f, 40)
@@ -116,6 +117,22 @@ def test_unlike_texts_of_one_bucket_against_brute_force(docs_of, monkeypatch):
     assert [got.get(n, n) for n in range(len(texts))] == brute(texts)
 
 
+def test_finer_bands_keep_near_pairs_and_part_unlike_texts():
+    r, sets = random.Random(5), []
+    common = r.sample(range(1 << 32), 100)
+    for f in range(100):
+        base = common + r.sample(range(1 << 32), 100)
+        sets += [np.unique(np.array(x, np.uint32)) for x in (base, [x if i % 20 else r.randrange(1 << 32) for i, x in enumerate(base)])]
+    fps = [f"{n:03}" for n in range(200)]
+    batch = m.pa.RecordBatch.from_arrays([m.pa.array(fps), m.pa.array([t.tobytes() for t in sets]), m.pa.array([(t % 251).astype(np.uint8).tobytes() for t in sets])], names=["fp", "tokens", "weights"])
+    keys = {}
+    for out in m._fine_rows([batch]):
+        for k, fp in zip(*(c.to_pylist() for c in out.columns)):
+            keys.setdefault(fp, set()).add(k)
+    assert all(keys[fps[n]] & keys[fps[n + 1]] for n in range(0, 200, 2))
+    assert sum(bool(keys[fps[i]] & keys[fps[j]]) for i in range(0, 200, 2) for j in range(0, i, 2)) < 0.05 * 4950
+
+
 def test_recall_on_a_thousand_near_pairs(docs_of):
     """Recall of pairs at the threshold or above, by exact similarity; pairs under it stay apart."""
     rows, pairs = [], []
