@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
 The segmentation is the one whose pieces' scores have the largest sum (a piece that starts earlier wins
-a tie). Characters go by one at a time; only the nodes that the longest piece can still reach are open.
-Whenever the backpointer paths of all open nodes meet at one boundary, the ids up to it are given out
-and the lattice before it is dropped, so memory hangs on the longest piece and not on the text. Where
-no piece spans a boundary (before a run of word marks, and around a character of no piece) paths always
-meet; units between such boundaries are coded apart and kept in a bounded cache.
+a tie). Characters go by one at a time; scores are held for the nodes that the longest piece can still
+reach, backpointers for what isn't committed. When the backpointer paths of all open nodes meet at one
+boundary, the ids up to it are given out and the lattice before it is dropped. Whether they meet is
+looked at each time the open part has doubled, so the work is in proportion to the text; memory hangs on
+the longest stretch without such a boundary, one backpointer a character (a text whose paths never meet
+is one such stretch). Where no piece spans a boundary (before a run of word marks, and around a character
+of no piece) paths always meet; the units between such boundaries are streamed once and kept in a bounded
+cache.
 
 Text becomes pieces as the library has it: a word mark for each space and one before the text; a
 character without a piece becomes its UTF-8 bytes. A word mark that stands in the text itself is coded
@@ -18,8 +21,10 @@ on the driver from the path given and sent to the executors; its size is fixed.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from struct import pack
 
 import numpy as np
@@ -32,13 +37,16 @@ from .common import table
 MARK = "▁"
 #: Units that each of the cache's two generations holds.
 CACHE = 300_000
-#: Units up to this length are solved as one window; longer ones stream.
-WINDOW = 64
+#: Longer units are streamed each time they come.
+KEPT = 64
+#: Characters that are read at a time, and after which paths are first looked at.
+STRIDE = 64
 #: What a character without a piece costs beyond the least score.
 UNKNOWN = 10.0
 
 
 def default_path() -> str:
+    """The path used where none is given: the 32k model of the tokenizer folder's package, if that is installed."""
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -86,183 +94,79 @@ class Vocabulary:
 
 
 def viterbi(chars: Iterable[str], v: Vocabulary) -> Iterator[int]:
-    """Ids of a stream of characters, given out as soon as no later character can change them."""
+    """Ids of a stream of characters (any iterable), given out as soon as no later character can change them."""
+    get, longest, unknown = v.table.get, v.longest, v.unknown
+    source = iter(chars)
     text = ""  # what is not committed
     start = 0  # place in the text of the next character whose pieces are to be tried
-    best: list[float] = [0.0]
-    back: list[tuple[int, int]] = [(-1, -1)]  # (node before, id; -1: bytes)
-    source = iter(chars)
-    ended = False
-
-    def ids(node: int) -> list[int]:
-        out = []
-        while node > 0:
-            before, i = back[node]
-            out.append((i, text[before:node]))
-            node = before
-        got = []
-        for i, s in reversed(out):
-            got += [i] if i >= 0 else [v.bytes[b] for b in s.encode()]
-        return got
-
+    best, back, ids = [0.0], [0], [0]  # a node's best score, the node before, the id between (-1: bytes)
+    look, ended = STRIDE, False
     while True:
-        while not ended and len(text) - start < v.longest:
-            c = next(source, None)
-            if c is None:
-                ended = True
-            else:
-                text += c
-        if start == len(text):
-            yield from ids(start)
+        if not ended and len(text) - start < longest:
+            more = "".join(islice(source, STRIDE))
+            ended = len(more) < STRIDE
+            text += more
+            best += [-math.inf] * len(more)
+            back += [0] * len(more)
+            ids += [0] * len(more)
+        n = len(text)
+        stop = n if ended else n - longest + 1
+        while start < stop:
+            here, single = best[start], False
+            if here > -math.inf:
+                for e in range(start + 1, min(n, start + longest) + 1):
+                    p = get(text[start:e], 0)
+                    if p == 0:
+                        break
+                    if p is not None:
+                        single = single or e == start + 1
+                        if here + p[0] > best[e]:
+                            best[e], back[e], ids[e] = here + p[0], start, p[1]
+                if not single and here + unknown > best[start + 1]:
+                    best[start + 1], back[start + 1], ids[start + 1] = here + unknown, start, -1
+            start += 1
+        if ended:
+            yield from _path(text, back, ids, n, v)
             return
-        # the pieces that start here
-        here = best[start]
-        end = min(len(text), start + v.reach.get(text[start], 1))
-        while len(best) <= max(end, start + 1):
-            best.append(-np.inf)
-            back.append((-1, -1))
-        found = False
-        for e in range(start + 1, end + 1):
-            p = v.pieces.get(text[start:e])
-            if p is not None:
-                found = found or e == start + 1
-                if here + p[0] > best[e]:
-                    best[e], back[e] = here + p[0], (start, p[1])
-        if not found and here + v.unknown > best[start + 1]:
-            best[start + 1], back[start + 1] = here + v.unknown, (start, -1)
-        start += 1
-        # do the paths of all open nodes meet?
-        if start >= v.longest or len(best) == start + 1:
-            open_ = [n for n in range(start, len(best)) if best[n] > -np.inf]
-            while len(open_) > 1:
-                last = max(open_)
-                open_.remove(last)
-                if back[last][0] not in open_:
-                    open_.append(back[last][0])
-            meet = open_[0]
-            if meet > 0 and meet <= start:
-                yield from ids(meet)
+        if start >= look:
+            meet = _meeting(best, back, start, min(n, start + longest))
+            if meet > 0:
+                yield from _path(text, back, ids, meet, v)
                 gone = best[meet]
-                text, best, start = text[meet:], [b - gone for b in best[meet:]], start - meet
-                back = [(-1, -1)] + [(b[0] - meet, b[1]) for b in back[meet + 1 :]]
-
-
-def window_ids(unit: str, v: Vocabulary) -> list[int]:
-    """The same ids for a text that is one window: its paths meet at its end and no earlier place is looked for."""
-    n, get = len(unit), v.table.get
-    best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
-    ids = [0] * (n + 1)
-    for s in range(n):
-        here, single = best[s], False
-        for e in range(s + 1, n + 1):
-            p = get(unit[s:e], 0)
-            if p == 0:
-                break
-            if p is not None:
-                single = single or e == s + 1
-                if here + p[0] > best[e]:
-                    best[e], back[e], ids[e] = here + p[0], s, p[1]
-        if not single and here + v.unknown > best[s + 1]:
-            best[s + 1], back[s + 1], ids[s + 1] = here + v.unknown, s, -1
+                text, start = text[meet:], start - meet
+                best, back, ids = [x - gone for x in best[meet:]], [max(0, x - meet) for x in back[meet:]], ids[meet:]
+            look = max(STRIDE, 2 * start)
+
+
+def _path(text: str, back: list[int], ids: list[int], node: int, v: Vocabulary) -> list[int]:
+    """The ids from the start of the open part to a node."""
     out = []
-    while n:
-        if ids[n] >= 0:
-            out.append(ids[n])
+    while node > 0:
+        if ids[node] >= 0:
+            out.append(ids[node])
         else:
-            out.extend(v.bytes[b] for b in reversed(unit[back[n] : n].encode()))
-        n = back[n]
+            out.extend(v.bytes[b] for b in reversed(text[back[node] : node].encode()))
+        node = back[node]
     out.reverse()
     return out
 
 
-class Trie:
-    """The pieces as a table of (node, character) -> node, for many windows at a time."""
-
-    def __init__(self, v: Vocabulary):
-        alphabet = sorted({c for p in v.pieces for c in p})
-        self.width = len(alphabet) + 1
-        self.code = np.zeros(0x110000, np.int32)
-        self.code[[ord(c) for c in alphabet]] = np.arange(1, self.width)
-        nodes, steps = {"": 0}, []
-        for p in v.table:
-            nodes[p] = len(nodes)
-        for p in v.table:
-            steps.append((nodes[p[:-1]] * self.width + int(self.code[ord(p[-1])]), nodes[p]))
-        self.ids, self.scores = np.full(len(nodes), -1, np.int32), np.zeros(len(nodes))
-        for p, (score, i) in v.pieces.items():
-            self.ids[nodes[p]], self.scores[nodes[p]] = i, score
-        self.bits = max(4, (4 * len(nodes)).bit_length())
-        self.keys, self.next = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-        for key, node in steps:
-            h = int(self._slot(np.array([key]))[0])
-            while self.keys[h] != -1:
-                h = (h + 1) & ((1 << self.bits) - 1)
-            self.keys[h], self.next[h] = key, node
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
-        """The next nodes; 0 where there is none."""
-        key = node.astype(np.int64) * self.width + char
-        h = self._slot(key)
-        found = self.keys[h]
-        out = np.where(found == key, self.next[h], 0)
-        open_ = np.flatnonzero((found != key) & (found != -1))
-        while len(open_):
-            h[open_] = (h[open_] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[h[open_]]
-            hit = found == key[open_]
-            out[open_[hit]] = self.next[h[open_[hit]]]
-            open_ = open_[~hit & (found != -1)]
-        return out
-
-    def solve(self, units: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of windows whose characters are all pieces: `window_ids` for all of them at once."""
-        lens = np.fromiter(map(len, units), np.int64, len(units))
-        chars = self.code[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
-        first = np.cumsum(lens) - lens
-        at = np.arange(len(chars)) - np.repeat(first, lens)  # place in the unit
-        left = np.repeat(lens, lens) - at
-        node_of = np.arange(len(chars)) + np.repeat(np.arange(len(units)), lens)  # boundary before each character
-        state, live, matches = np.zeros(len(chars), np.int32), np.arange(len(chars)), []
-        for d in range(1, longest + 1):
-            live = live[left[live] >= d]
-            if not len(live):
-                break
-            nxt = self.step(state[live], chars[live + d - 1])
-            live, nxt = live[nxt > 0], nxt[nxt > 0]
-            state[live] = nxt
-            own = self.ids[nxt] >= 0
-            place = live[own]
-            order = np.argsort(at[place].astype(np.int16), kind="stable")
-            place, node = place[order], nxt[own][order]
-            matches.append((d, node_of[place], self.scores[node], self.ids[node], np.searchsorted(at[place], np.arange(int(lens.max()) + 1))))
-        size = len(chars) + len(units)
-        best, back, ids = np.full(size, -np.inf), np.zeros(size, np.int32), np.zeros(size, np.int32)
-        start = first + np.arange(len(units))
-        best[start] = 0.0
-        for j in range(int(lens.max())):
-            for d, source, score, piece, cuts in matches:
-                lo, hi = cuts[j], cuts[j + 1]
-                if lo == hi:
-                    continue
-                src = source[lo:hi]
-                value, to = best[src] + score[lo:hi], src + d
-                better = np.flatnonzero(value > best[to])
-                to = to[better]
-                best[to], back[to], ids[to] = value[better], d, piece[lo:hi][better]
-        rows, out, here, who = [], [], start + lens, np.arange(len(units))
-        while len(who):
-            rows.append(who)
-            out.append(ids[here])
-            here = here - back[here]
-            more = here > start[who]
-            who, here = who[more], here[more]
-        row, flat, nth = np.concatenate(rows), np.concatenate(out), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        order = np.lexsort((-nth, row))
-        return flat[order], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(units)))))
+def _meeting(best: list[float], back: list[int], start: int, end: int) -> int:
+    """The last boundary that the paths of all open nodes, start to end, go through; 0 if that is the beginning."""
+    marked = bytearray(end + 1)
+    n = 0
+    for x in range(start, end + 1):
+        if best[x] > -math.inf:
+            marked[x], n = 1, n + 1
+    for x in range(end, 0, -1):
+        if marked[x]:
+            if n == 1 and x <= start:
+                return x
+            if not marked[back[x]]:
+                marked[back[x]] = 1
+            else:
+                n -= 1
+    return 0
 
 
 class Codec:
@@ -272,8 +176,6 @@ class Codec:
         self.v = v
         self.units = re.compile(f"{MARK}+[^{MARK}\n\x00]*|\n|\x00|[^{MARK}\n\x00]+" if v.cuts else r"(?s).+")
         self.literal = np.array([v.bytes[b] for b in MARK.encode()], np.int32).tobytes()
-        self.single = re.compile("[" + "".join(re.escape(c) for c in sorted({p for p in v.pieces if len(p) == 1})) + "]*")
-        self.trie: Trie | None = None
         codec = self
 
         class Cache(dict):
@@ -282,17 +184,14 @@ class Codec:
             def __missing__(self, unit):
                 out = self.old.get(unit)
                 if out is None:
-                    if len(unit) > WINDOW:
-                        return np.fromiter(viterbi(unit, codec.v), np.int32).tobytes()
-                    out = pack("%di" % len(ids := window_ids(unit, codec.v)), *ids)
-                self.put(unit, out)
-                return out
-
-            def put(self, unit, out):
+                    out = pack("%di" % len(ids := list(viterbi(unit, codec.v))), *ids)
+                    if len(unit) > KEPT:
+                        return out
                 if len(self) >= CACHE:
                     self.old = dict(self)
                     self.clear()
                 self[unit] = out
+                return out
 
         self.cache = Cache()
 
@@ -315,23 +214,6 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         return self._join(self.split(text))
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The same for many texts: their new units are solved together."""
-        split = [self.split(t) for t in texts]
-        cache, old = self.cache, self.cache.old
-        new = [u for u in set().union(*split) if u is not None and 1 < len(u) <= WINDOW and u not in cache and u not in old and self.single.fullmatch(u)]
-        if len(new) > 200:
-            if self.trie is None:
-                self.trie = Trie(self.v)
-            new.sort(key=len)
-            for i in range(0, len(new), 20_000):  # windows of about one length
-                part = new[i : i + 20_000]
-                ids, offs = self.trie.solve(part, self.v.longest)
-                raw, offs = ids.astype(np.int32).tobytes(), (offs * 4).tolist()
-                for u, a, b in zip(part, offs, offs[1:], strict=False):
-                    cache.put(u, raw[a:b])
-        return [self._join(s) for s in split]
-
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.v.out.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
@@ -348,7 +230,7 @@ def _codec_rows(shared, schema: pa.Schema, ids_name: str, check: str | None):
         codec = codec_of(shared.value)
         for b in batches:
             texts = b.column("text").to_pylist()
-            parts = codec.encode_all([x or "" for x in texts])
+            parts = [codec.encode(x or "") for x in texts]
             lens, valid = [len(x) for x in parts], [x is not None for x in texts]
             same = [x is None or codec.decode(y) == x for x, y in zip(texts, parts, strict=True)] if check else []
             offsets = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)

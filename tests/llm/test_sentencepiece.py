@@ -68,11 +68,38 @@ def test_table(docs_of):
     assert m.encode(docs_of([])).collect() == []
 
 
-def test_windows_solved_together_are_the_same(vocabulary):
-    r, codec, plain = random.Random(5), m.Codec(vocabulary), m.Codec(vocabulary)
-    texts = [" ".join("".join(r.choice("abcdefgéß漢▁☃\n") for _ in range(r.randint(1, 30))) for _ in range(40)) for _ in range(40)] + ["", " ", "▁"]
-    for a, b in zip(codec.encode_all(texts), map(plain.encode, texts)):
-        assert a.tolist() == b.tolist()
-    units = ["▁the", "a", "international", "▁" * 20]
-    ids, offs = m.Trie(vocabulary).solve(units, vocabulary.longest)
-    assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == [m.window_ids(u, vocabulary) for u in units]
+def test_one_routine_decides(vocabulary, monkeypatch):
+    """Every unit's ids come from the streaming routine."""
+    seen, real = [], m.viterbi
+    monkeypatch.setattr(m, "viterbi", lambda unit, v: seen.append(unit) or real(unit, v))
+    codec, t = m.Codec(vocabulary), "some words and " + "verylong" * 40 + " words"
+    codec.encode(t)
+    assert sorted(seen) == sorted(set(codec.split(t))) and max(map(len, seen)) > 300
+
+
+def test_paths_that_never_meet_cost_in_proportion(vocabulary):
+    import time
+
+    codec, t = m.Codec(vocabulary), "a" * 1_000_000
+    began = time.time()
+    ids = codec.encode(t)
+    assert time.time() - began < 60 and codec.decode(ids) == t
+
+
+def test_commits_in_the_middle(vocabulary, monkeypatch):
+    """Ids are given out before the stream ends, and small strides change nothing."""
+    read = []
+
+    def stream():
+        for c in "internationalisation" * 200:
+            read.append(c)
+            yield c
+
+    first = next(m.viterbi(stream(), vocabulary))
+    assert len(read) < 1000
+    r, whole = random.Random(7), {}
+    for n in range(40):
+        t = "".join(r.choice("abcthe▁in☃") for _ in range(r.randint(100, 700)))
+        whole[t] = list(m.viterbi(t, vocabulary))
+    monkeypatch.setattr(m, "STRIDE", 20)
+    assert all(list(m.viterbi(t, vocabulary)) == ids for t, ids in whole.items()) and first >= 0
