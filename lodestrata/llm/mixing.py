@@ -13,8 +13,10 @@ Group sizes follow from the row count alone, so no source, however large, makes
 Odds come from hashes of ids and a seed, so reruns agree, whatever the partitions are.
 
 Defined cases: null and empty texts have size 0 and are taken 0 words; a null source is a source, the
-last; a null doc_id is an id of its own; repeated rows (equal id, source and size) fall together, each
-taken alike. Sources of size 0 have target 0. Extra columns are ignored.
+last; different texts under one doc_id, or none, are documents of their own. Rows equal in id, source and
+text are reckoned together: of m such rows the whole part of m fractions is rounded up, what is left over
+duels as one, so they are not all taken alike and a source's target holds however many rows repeat.
+Sources of size 0 have target 0. Extra columns are ignored by `plan` and kept by `mix_rows`.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD, staged, table
 
 WEIGHTS = (5, 2, 1)
 #: Rows of a leaf group, on average, if one source and size class held all rows.
 GROUP = 32
-_ITEM = "struct<id:bigint,source:string,size:bigint,p:double>"
+#: Rows that one array makes where equal rows are told apart again.
+RUN = 100_000
 
 
 def _size(text: str = "text") -> Column:
@@ -66,41 +70,47 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     return known.select("source", "source_size", F.least(F.col("source_size") * F.lit(most), F.col("w") * F.lit(level)).alias("target"))
 
 
+def _key(doc_id: str = "doc_id", source: str = "source", text: str = "text") -> Column:
+    """What rows of one document have in common, as a string: id, hash of the text, source."""
+    return F.concat_ws("|", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("-")), F.xxhash64(text).cast("string"), F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))))
+
+
 def _duels(items: Column) -> Column:
-    """struct(id, source, size, p, out): out has the documents that were rounded, the rest is the residual."""
-    start = F.struct(F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("size"), F.lit(0.0).alias("p"), F.lit(False).alias("on"), F.array().cast("array<struct<id:bigint,source:string,size:bigint,up:int>>").alias("out"))
+    """struct(key, source, size, p, out): out has the documents that were rounded, the rest is the residual."""
+    null = F.lit(None).cast("string")
+    start = F.struct(null.alias("key"), null.alias("source"), F.lit(None).cast("bigint").alias("size"), F.lit(0.0).alias("p"), F.lit(False).alias("on"), F.array().cast("array<struct<key:string,source:string,size:bigint,up:int>>").alias("out"))
 
     def step(a, b):
         p, q = a["p"], b["p"]
-        u = _unit(a["id"], a["size"], b["id"], b["size"], F.lit("duel"))
+        u = _unit(a["key"], b["key"], F.lit("duel"))
         small = p + q < 1.0
         # the first named stays open, the other is rounded
         a_open = F.when(small, u * (p + q) < p).otherwise(u * (2.0 - p - q) >= 1.0 - q)
         rest = F.when(small, p + q).otherwise(p + q - 1.0)
         up = F.when(small, 0).otherwise(1)
-        done = F.struct(F.when(a_open, b["id"]).otherwise(a["id"]).alias("id"), F.when(a_open, b["source"]).otherwise(a["source"]).alias("source"), F.when(a_open, b["size"]).otherwise(a["size"]).alias("size"), up.cast("int").alias("up"))
+        done = F.struct(*[F.when(a_open, b[n]).otherwise(a[n]).alias(n) for n in ("key", "source", "size")], up.cast("int").alias("up"))
         first = ~a["on"]
         pick = lambda n: F.when(~first & a_open, a[n]).otherwise(b[n]).alias(n)
-        return F.struct(pick("id"), pick("source"), pick("size"), F.when(first, q).otherwise(rest).alias("p"), F.lit(True).alias("on"), F.when(first, a["out"]).otherwise(F.concat(a["out"], F.array(done))).alias("out"))
+        return F.struct(pick("key"), pick("source"), pick("size"), F.when(first, q).otherwise(rest).alias("p"), F.lit(True).alias("on"), F.when(first, a["out"]).otherwise(F.concat(a["out"], F.array(done))).alias("out"))
 
     return F.aggregate(items, start, step)
 
 
 def pivotal(units: DataFrame, n_rows: int) -> DataFrame:
-    """units: id, source, size, p (0 < p < 1, distinct rows). Adds none or one to each: id, source, size, up int."""
+    """units: key, source, size, p (0 < p < 1, distinct keys). Adds none or one to each: key, source, size, up int."""
     depth = max(0, math.ceil(math.log2(max(1, n_rows) / GROUP)))
     cls = F.floor(F.log2(F.col("size").cast("double")) * 4).cast("int")
-    shift_of = lambda bits: F.shiftrightunsigned(F.xxhash64("id", "size", F.lit("leaf")), 64 - bits) if bits else F.lit(0).cast("long")
+    shift_of = lambda bits: F.shiftrightunsigned(F.xxhash64("key", F.lit("leaf")), 64 - bits) if bits else F.lit(0).cast("long")
     levels = [(bits, True) for bits in range(depth, 0, -5)] + [(0, True), (0, False)]
-    open_, rounded = units.select("id", "source", "size", "p"), []
+    open_, rounded = units.select("key", "source", "size", "p"), []
     for bits, by_class in levels:
         keys = ["source", "_g"] + (["_c"] if by_class else [])
-        item = F.struct("size", "id", "source", "p")
+        item = F.struct("size", "key", "source", "p")
         grouped = open_.withColumns({"_g": shift_of(bits), "_c": cls}).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-        done = staged(grouped.select(_duels(F.col("items")).alias("r")).select("r.id", "r.source", "r.size", "r.p", "r.out"), "op9_level")
-        rounded.append(done.select(F.inline("out")).select("id", "source", "size", "up"))
-        open_ = done.select("id", "source", "size", "p")
-    rounded.append(open_.select("id", "source", "size", (_unit("id", "size", F.lit("coin")) < F.col("p")).cast("int").alias("up")))
+        done = staged(grouped.select(_duels(F.col("items")).alias("r")).select("r.key", "r.source", "r.size", "r.p", "r.out"), "op9_level")
+        rounded.append(done.select(F.inline("out")).select("key", "source", "size", "up"))
+        open_ = done.select("key", "source", "size", "p")
+    rounded.append(open_.select("key", "source", "size", (_unit("key", F.lit("coin")) < F.col("p")).cast("int").alias("up")))
     out = rounded[0]
     for r in rounded[1:]:
         out = out.unionByName(r)
@@ -108,30 +118,34 @@ def pivotal(units: DataFrame, n_rows: int) -> DataFrame:
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs: doc_id, source, text. One row a different (id, source, size): with source_size, target, copies int and m, the rows that are alike."""
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), _size().alias("size")).groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("m")), "op9_rows")
+    """docs: doc_id, source, text. One row a document: key, id, source, size, source_size, target, m (rows that are alike), and what they are taken: each `whole` times, `ups` of them once more."""
+    rows = staged(docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), _size().alias("size")).groupBy("key", "id", "source", "size").agg(F.count(F.lit(1)).alias("m")), "op9_rows")
     targets = staged(source_targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), weights, share, most), "op9_targets")
     n = rows.count()
     renamed = targets.select(F.col("source").alias("_s"), "source_size", "target")
-    wanted = staged(rows.join(renamed, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("x", F.when(F.col("size") > 0, F.coalesce(F.col("target") / F.col("source_size"), F.lit(0.0))).otherwise(0.0)), "op9_wanted")
+    wanted = rows.join(renamed, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("x", F.when(F.col("size") > 0, F.coalesce(F.col("target") / F.col("source_size"), F.lit(0.0))).otherwise(0.0))
     whole = F.floor(F.col("x") + 1e-12)
-    units = wanted.select("id", "source", "size", F.greatest(F.col("x") - whole, F.lit(0.0)).alias("p")).where("p > 1e-12")
-    ups = pivotal(units, n).select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "up")
-    same = F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
-    taken = (whole + F.coalesce(F.col("up"), F.lit(0))).cast("int")
-    return wanted.join(ups, same, "left").select("id", "source", "size", "source_size", "target", taken.alias("copies"), "m")
+    parts = F.greatest(F.col("x") - whole, F.lit(0.0)) * F.col("m")
+    sure = F.floor(parts + 1e-12)
+    wanted = staged(wanted.withColumns({"whole": whole.cast("long"), "sure": sure.cast("long"), "p": F.greatest(parts - sure, F.lit(0.0))}).drop("x"), "op9_wanted")
+    ups = pivotal(wanted.select("key", "source", "size", "p").where("p > 1e-12"), n).select(F.col("key").alias("_k"), "up")
+    out = wanted.join(ups, F.col("key") == F.col("_k"), "left")
+    return out.select("key", "id", "source", "size", "source_size", "target", "m", "whole", (F.col("sure") + F.coalesce(F.col("up"), F.lit(0))).cast("long").alias("ups"))
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    planned = staged(plan(docs).where("copies > 0").select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__c")), "op9_plan")
-    sized = docs.withColumn("__size", _size())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
-    # one join strategy at every size: both sides by id, source and size
-    return sized.hint("merge").join(planned, same).withColumn("__n", F.explode(F.sequence(F.lit(1), "__c"))).select(docs.columns)
+    planned = staged(plan(docs).where("whole + ups > 0").select(F.col("key").alias("__p"), F.col("whole").alias("__w"), F.col("ups").alias("__u")), "op9_plan")
+    # one join strategy at every size: both sides by document; equal rows are numbered to tell which go up
+    joined = docs.withColumn("__k", _key()).hint("merge").join(planned, F.col("__k") == F.col("__p"))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy("__p"))
+    copies = (F.col("__w") + (place <= F.col("__u")).cast("int")).cast("int")
+    return joined.withColumn("__c", copies).where("__c > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), "__c"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    rows = mixed.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("m"))))
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    runs = mixed.withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / RUN))))
+    rows = runs.withColumn("_n", F.explode(F.sequence(F.col("_r") * RUN + 1, F.least(F.col("m"), (F.col("_r") + 1) * RUN))))
+    taken = (F.col("whole") + (F.col("_n") <= F.col("ups")).cast("int")) * F.col("size")
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"))
