@@ -2,17 +2,21 @@
 
 Features are the hashed lower-case words that a text has and the first bytes of longer words (each
 counts once). A logistic regression with an L1 and an L2 penalty is fitted on labelled rows whose
-crc32(doc_id as text) mod 5 is not 0: a hashed sample of FIT_ROWS rows at most, of texts up to
-FIT_CHARS characters; features whose share of toxic texts is within LEAST_Z deviations of the mean
-are left out. For each such text that names a group of IDENTITY_TERMS, the
-term is swapped for the others of its kind and the squared change of the score (in logits) is penalised,
-so that naming a group does not raise a score by itself.
+crc32(doc_id as text) mod 5 is not 0: a hashed sample of FIT_ROWS rows at most, whole texts. Features
+whose share of toxic texts is within LEAST_Z deviations of the mean are left out, and of the others the
+MOST_FEATURES that deviate most are kept. For each such text that names a group of IDENTITY_TERMS, the
+term is swapped for the others of its kind, with all features that it brings, beginnings of words
+included, and the squared change of the score (in logits) is penalised, so that naming one group and not
+another does not change a score. The weight of the L1 penalty is chosen from L1_CHOICES by the loss on
+one fold of the learning rows (mod 5 is 1), never on the held-out one.
 
-Training takes one array program on the driver over that bounded sample; scoring takes one scan.
+Counts of features are reduced on the executors (a row a bucket at most); the driver gets FIT_ROWS rows
+of kept features at most and trains in one array program; scoring takes one scan.
 
 Defined cases: null and empty texts get the score of no words; a doc_id with several labels has the
-largest; without labels of both kinds every score is the share of toxic ones (0 if none); held_out of a
-null doc_id is false; rows are independent; extra columns are kept by `score_toxicity`.
+largest; a doc_id that several rows share gives them all its label, and the sample still has FIT_ROWS
+rows at most; without labels of both kinds every score is the share of toxic ones (0 if none); held_out
+of a null doc_id is false; rows are independent; extra columns are kept by `score_toxicity`.
 """
 
 from __future__ import annotations
@@ -24,18 +28,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_spans, mix, table, text_slices
+from .common import discard, hash_spans, mix, row_hash, staged, table, text_slices
 
 BITS = 18
 BUCKETS = 1 << BITS
 FIT_ROWS = 20_000
-FIT_CHARS = 200_000
+MOST_FEATURES = 20_000
 #: Texts of the sample that a word must stand in.
 LEAST_DF = 3
 LEAST_Z = 2.0
 #: Bytes of the beginnings of words that are features too.
 PREFIXES = (5, 7)
-L1, L2, COUNTERFACTUAL, STEPS = 5e-5, 1e-5, 1.0, 400
+L1_CHOICES = (2e-4, 5e-5)
+L2, COUNTERFACTUAL, STEPS = 1e-5, 10.0, 400
 
 #: Groups that are named in neutral sentences; terms of one row are swapped for each other.
 IDENTITY_TERMS = (
@@ -87,33 +92,64 @@ def bucket_of(word: str) -> int:
     return int(hash_spans(raw, np.array([0]), np.array([len(raw)]))[0] >> np.uint64(64 - BITS))
 
 
+def buckets_of(text: str) -> np.ndarray:
+    """The features of a whole text."""
+    raw = np.frombuffer(text.lower().encode(), np.uint8)
+    return word_buckets(raw, np.array([0, len(raw)]))[1]
+
+
 def _lower(col) -> pa.Array:
     return pc.utf8_lower(col)
 
 
-def _sample_rows(labels: dict[int, int]):
-    ids = np.array(sorted(labels), np.int64)
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.binary())])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("e", pa.int64()), ("toxic", pa.int32()), ("fold", pa.int32()), ("words", pa.binary())])
+_FEATURES_SQL = "doc_id long, e long, toxic int, fold int, words binary"
+
+
+def _feature_rows(batches):
+    for b in batches:
+        for i, j, data, offs in text_slices(_lower(b.column("text"))):
+            row, bucket = word_buckets(data, offs)
+            cut = np.searchsorted(row, np.arange(j - i + 1))
+            words = [bucket[cut[r] : cut[r + 1]].astype(np.uint32).tobytes() for r in range(j - i)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in _FEATURES.names[:4]), pa.array(words, pa.binary())], schema=_FEATURES)
+
+
+def _count_rows(batches):
+    df, hits, rows, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0, 0
+    for b in batches:
+        for words, label in zip(b.column("words").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            at = np.frombuffer(words, np.uint32)
+            df[at] += 1
+            hits[at] += label
+            rows, toxic = rows + 1, toxic + label
+    at = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], rows)), pa.array(np.append(hits[at], toxic))], names=["bucket", "df", "hits"])
+
 
+def _kept_rows(shared):
     def run(batches):
+        keep = shared.value
         for b in batches:
-            b = b.filter(pa.array(np.isin(b.column("doc_id").to_numpy(zero_copy_only=False), ids)))
-            if not b.num_rows:
-                continue
-            keys = b.column("doc_id").to_pylist()
-            out = {n: [] for n in schema.names}
-            for i, j, data, offs in text_slices(_lower(b.column("text"))):
-                row, bucket = word_buckets(data, offs)
-                cut = np.searchsorted(row, np.arange(j - i + 1))
-                for r in range(j - i):
-                    out["doc_id"].append(keys[i + r])
-                    out["toxic"].append(labels[keys[i + r]])
-                    out["words"].append(bucket[cut[r] : cut[r + 1]].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+            words = [(x := np.frombuffer(w, np.uint32))[keep[x]].tobytes() for w in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in _FEATURES.names[:4]), pa.array(words, pa.binary())], schema=_FEATURES)
 
     return run
 
 
+def telling(df: np.ndarray, hits: np.ndarray, n: int, share: float, terms) -> np.ndarray:
+    """Mask of the buckets that are features: those that deviate, and all that identity terms bring."""
+    z = np.abs(hits - df * share) / np.sqrt(np.maximum(df, 1) * share * (1 - share))
+    z[df < LEAST_DF] = 0.0
+    keep = z >= LEAST_Z
+    if keep.sum() > MOST_FEATURES:
+        keep &= z >= np.partition(z, -MOST_FEATURES)[-MOST_FEATURES]
+    for g in terms:
+        for term in g:
+            keep[buckets_of(term)] = True
+    return keep
+
+
 class Model:
     """Weights of the buckets and the bias."""
 
@@ -125,7 +161,25 @@ class Model:
             return 1.0 / (1.0 + np.exp(-(total + self.bias)))
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS) -> Model:
+def _swaps(df: np.ndarray, n: int, terms, place: np.ndarray):
+    """The changes of features by swaps: (number of the swap, column, sign) of each, and the weight of each swap."""
+    swap, column, sign, weight = [], [], [], []
+    for g in terms:
+        own = {t: set(buckets_of(t).tolist()) for t in g}
+        for a in g:
+            here = df[bucket_of(a)]
+            for b in g:
+                if a != b and here:
+                    for side, value in ((own[b] - own[a], 1.0), (own[a] - own[b], -1.0)):
+                        for f in sorted(side):
+                            swap.append(len(weight))
+                            column.append(place[f])
+                            sign.append(value)
+                    weight.append(here / n / (len(g) - 1))
+    return np.array(swap, int), np.array(column, int), np.array(sign), np.array(weight)
+
+
+def train(rows: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS, l1: float = L1_CHOICES[-1]) -> Model:
     """Accelerated proximal gradient on the penalised logistic loss."""
     n = len(rows)
     share = float(toxic.mean()) if n else 0.0
@@ -136,10 +190,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS) -> Mo
         df[r] += 1
         if label:
             hits[r] += 1
-    groups = [[bucket_of(t) for t in g] for g in terms]
-    keep = (df >= LEAST_DF) & (np.abs(hits - df * share) >= LEAST_Z * np.sqrt(np.maximum(df, 1) * share * (1 - share)))
-    for g in groups:
-        keep[g] = True
+    keep = telling(df, hits, n, share, terms)
     chosen = [r[keep[r]] for r in rows]
     bucket = np.concatenate(chosen).astype(np.int64)
     row = np.repeat(np.arange(n), [len(r) for r in chosen])
@@ -147,33 +198,34 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS) -> Mo
     place = np.full(BUCKETS, -1)
     place[known] = np.arange(len(known))
     col = place[bucket]
-    # counterfactuals: how many texts have a term that is swapped for another, by pair of terms
-    swaps = [(place[a], place[b], df[a] / n / (len(g) - 1)) for g in groups for a in g for b in g if a != b and df[a]]
-    a, b, c = (np.array([s[i] for s in swaps]) for i in range(3)) if swaps else (np.empty(0, int), np.empty(0, int), np.empty(0))
-    m = len(known)
+    swap, changed, sign, c = _swaps(df, n, terms, place)
+    m, k = len(known), len(c)
     # rare words would need many steps in raw scale: scale by the root of their share
     scale = 1.0 / np.sqrt(np.maximum(np.bincount(col, minlength=m), 1) / n)
-    norm = 0.25 * (1 + np.bincount(row, weights=scale[col] ** 2, minlength=n).mean()) + 4 * COUNTERFACTUAL * (float((c * scale[a] ** 2).sum()) if len(c) else 0.0)
+    pull = sign * scale[changed] if k else np.empty(0)
+    norm = 0.25 * (1 + np.bincount(row, weights=scale[col] ** 2, minlength=n).mean()) + (4 * COUNTERFACTUAL * float((c[swap] * pull**2).sum()) if k else 0.0)
     w, bias = np.zeros(m), float(np.log(share / (1 - share)))
     y, yb, t = w, bias, 1.0
-    step = 1.0 / norm
+    step = 64.0 / norm
     target = toxic.astype(float)
 
+    def change(v):
+        return np.bincount(swap, weights=pull * v[changed], minlength=k) if k else np.zeros(0)
+
     def loss(v, vb):
         z = np.bincount(row, weights=(v * scale)[col], minlength=n) + vb
-        d = v[a] * scale[a] - v[b] * scale[b]
-        return z, float(np.mean(np.logaddexp(0, z) - target * z) + COUNTERFACTUAL * (c * d * d).sum() + L2 * ((v * scale) ** 2).sum() / 2)
+        return z, float(np.mean(np.logaddexp(0, z) - target * z) + COUNTERFACTUAL * (c * change(v) ** 2).sum() + L2 * ((v * scale) ** 2).sum() / 2)
 
-    step = 64.0 * step
     for _ in range(STEPS):
         z, at = loss(y, yb)
         g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target) / n
-        d = 2 * COUNTERFACTUAL * c * (y[a] * scale[a] - y[b] * scale[b])
-        grad = scale * (np.bincount(col, weights=g[row], minlength=m) + np.bincount(a, weights=d, minlength=m) - np.bincount(b, weights=d, minlength=m) + L2 * y * scale)
+        grad = scale * (np.bincount(col, weights=g[row], minlength=m) + L2 * y * scale)
+        if k:
+            grad = grad + np.bincount(changed, weights=(2 * COUNTERFACTUAL * c * change(y))[swap] * pull, minlength=m)
         gb = float(g.sum())
         while True:  # shorten the step until the quadratic bound holds
             u = y - step * grad
-            new = np.sign(u) * np.maximum(np.abs(u) - step * L1 * scale, 0.0)
+            new = np.sign(u) * np.maximum(np.abs(u) - step * l1 * scale, 0.0)
             nb = yb - step * gb
             move = new - y
             bound = at + float(grad @ move) + gb * (nb - yb) + (float(move @ move) + (nb - yb) ** 2) / (2 * step)
@@ -188,14 +240,41 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS) -> Mo
     return Model(weights, bias)
 
 
+def choose_l1(rows: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray, terms=IDENTITY_TERMS) -> float:
+    """The choice with the least loss on the learning rows of fold 1, fitted on the others."""
+    inner, own = np.flatnonzero(fold == 1), np.flatnonzero(fold != 1)
+    if not len(inner) or not 0 < toxic[own].sum() < len(own):
+        return L1_CHOICES[-1]
+    losses = []
+    for l1 in L1_CHOICES:
+        model = train([rows[i] for i in own], toxic[own], terms, l1)
+        z = np.array([model.weights[rows[i]].sum() for i in inner]) + model.bias
+        losses.append(float(np.mean(np.logaddexp(0, z) - toxic[inner] * z)))
+    return L1_CHOICES[int(np.argmin(losses))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """From labelled rows outside the held-out fold only."""
-    learn = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 != 0)
-    known = learn.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    sample = {r.doc_id: int(r.toxic) for r in known.orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id").limit(fit_rows).collect()}  # fit_rows rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS))
-    rows = sorted(texts.mapInArrow(_sample_rows(sample), "doc_id long, toxic int, words binary").collect(), key=lambda r: (r.doc_id, bytes(r.words)))
-    return train([np.frombuffer(bytes(r.words), np.uint32) for r in rows], np.array([r.toxic for r in rows]))
+    spark = docs.sparkSession
+    fold = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5
+    known = labels.where("doc_id is not null and toxic is not null").where(fold != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    order = [F.xxhash64("doc_id", F.lit(10)), F.col("doc_id")]
+    sample = known.orderBy(*order).limit(fit_rows)  # small enough to be broadcast: fit_rows rows at most
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("e"), "text")
+    taken = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "e", "toxic", fold.cast("int").alias("fold"), "text")
+    features = staged(taken.mapInArrow(_feature_rows, _FEATURES_SQL).orderBy(*order, "e").limit(fit_rows), "op10_features")
+    counts = features.mapInArrow(_count_rows, "bucket int, df long, hits long").groupBy("bucket").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits")).toArrow()  # BUCKETS rows at most
+    bucket, df, hits = (counts.column(x).to_numpy() for x in ("bucket", "df", "hits"))
+    n, n_toxic = int(df[bucket < 0].sum()), int(hits[bucket < 0].sum())
+    if not 0 < n_toxic < n:
+        return train([], np.empty(0)) if not n else train([np.empty(0, np.uint32)] * n, np.full(n, n_toxic > 0))
+    full_df, full_hits = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    full_df[bucket[bucket >= 0]], full_hits[bucket[bucket >= 0]] = df[bucket >= 0], hits[bucket >= 0]
+    shared = spark.sparkContext.broadcast(telling(full_df, full_hits, n, n_toxic / n, IDENTITY_TERMS))
+    got = sorted(features.mapInArrow(_kept_rows(shared), _FEATURES_SQL).collect(), key=lambda r: (r.doc_id, r.e))  # fit_rows rows of MOST_FEATURES features at most
+    rows, toxic, folds = [np.frombuffer(bytes(r.words), np.uint32) for r in got], np.array([r.toxic for r in got]), np.array([r.fold for r in got])
+    discard(features)
+    return train(rows, toxic, l1=choose_l1(rows, toxic, folds))
 
 
 def _score_rows(shared):

@@ -45,17 +45,50 @@ def test_held_out_labels_are_never_read(spark, docs_of):
     assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
 
 
-def test_swapped_terms_change_scores_less(monkeypatch):
-    rows, labels = corpus()
-    data = []
-    for _, t in rows:
-        raw = np.frombuffer(t.lower().encode(), np.uint8)
-        data.append(m.word_buckets(raw, np.array([0, len(raw)]))[1].astype(np.uint32))
-    toxic = np.array([t for _, _, t in labels])
-    gap = lambda model: abs(model.weights[m.bucket_of("muslims")] - model.weights[m.bucket_of("jews")])
-    fair = gap(m.train(data, toxic))
+def test_swapped_sentences_get_one_score(monkeypatch):
+    """A group that toxic texts name far more often: a neutral sentence scores alike with each group's name."""
+    r, vocabulary = random.Random(2), words(1, 500)
+    data, toxic = [], []
+    for i in range(3000):
+        ws = [r.choice(vocabulary) for _ in range(30)]
+        bad = i % 3 == 0
+        if bad and r.random() < 0.7:
+            ws[r.randrange(30)] = r.choice(["scumbag", "vermin", "idiotic"])
+        if r.random() < (0.6 if bad else 0.05):
+            ws[r.randrange(30)] = "transgender"
+        if r.random() < 0.05:
+            ws[r.randrange(30)] = r.choice(["women", "men", "muslims", "jews"])
+        data.append(m.buckets_of(" ".join(ws)).astype(np.uint32))
+        toxic.append(int(bad))
+    toxic = np.array(toxic)
+
+    def spread(model):
+        neutral = " ".join(vocabulary[:12])
+        scores = [float(model.score(np.array([model.weights[m.buckets_of(f"{neutral} {term}")].sum()]))[0]) for term in ("transgender", "women", "men", "nonbinary")]
+        return max(scores) - min(scores)
+
+    fair = m.train(data, toxic)
+    assert spread(fair) < 0.05
+    said = lambda text: float(fair.score(np.array([fair.weights[m.buckets_of(text)].sum()]))[0])
+    assert said(vocabulary[3] + " scumbag") > 0.5 and said(vocabulary[3] + " scumbag") > said(vocabulary[3]) + 0.3
     monkeypatch.setattr(m, "COUNTERFACTUAL", 0.0)
-    assert fair < 0.5 * gap(m.train(data, toxic))
+    assert spread(m.train(data, toxic)) > 0.2
+
+
+def test_sample_is_bounded_by_rows(spark, docs_of, monkeypatch):
+    seen = []
+    real = m.train
+    monkeypatch.setattr(m, "train", lambda rows, *a, **k: seen.append(len(rows)) or real(rows, *a, **k))
+    rows = [(1, " ".join(words(n, 5))) for n in range(500)] + [(2, "one text"), (3, "another")]
+    m.fit(docs_of(rows), spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 1, 0)], LABELS), fit_rows=1)
+    assert max(seen) <= 1
+
+
+def test_long_labelled_texts_are_learned_from(spark, docs_of):
+    rows = [(i, " ".join(words(i, 30) + (["vermin"] if i % 2 else [])) + (" filler" * 60_000 if i % 7 == 0 else "")) for i in range(60)]
+    labels = [(i, 1, i % 2) for i in range(60)]
+    model = m.fit(docs_of(rows), spark.createDataFrame(labels, LABELS))
+    assert model.weights[m.bucket_of("vermin")] > 0
 
 
 def test_defined_cases(spark, docs_of):
