@@ -269,19 +269,18 @@ class Batch:
         return wanted & (common >= floor * (self.totals + leader.total - common))
 
 
-def group_links(leaders: list[Leader], batch: Batch, similarity: float = SIMILARITY) -> list[tuple[str, str]]:
-    """Links that join what is similar: each text to one leader, and leaders that have a text in common."""
+def group_links(leaders: list[Leader], batch: Batch, similarity: float = SIMILARITY) -> set[tuple[str, str]]:
+    """The pairs of classes that similar texts join: those of each text and its first leader, and of leaders that have a text in common."""
     mine: list[int | None] = [None] * len(batch.fps)
-    out, joined = [], set()
+    out = set()
     for n, leader in enumerate(leaders):
         for r in np.flatnonzero(batch.alike(leader, similarity)).tolist():
             if mine[r] is None:
                 mine[r] = n
-                out.append((batch.fps[r], leader.fp))
-            elif (mine[r], n) not in joined:
-                joined.add((mine[r], n))
-                out.append((leaders[mine[r]].fp, leader.fp))
-    return out
+                out.add((batch.labels[r], leader.label))
+            else:
+                out.add((leaders[mine[r]].label, leader.label))
+    return {x for x in out if x[0] != x[1]}
 
 
 def _verify_rows(batches):
@@ -292,7 +291,7 @@ def _verify_rows(batches):
             continue
         groups = list(zip(*(b.column(c).to_pylist() for c in ("g", "salt", "block", "other")), strict=True))
         fps, labels, tokens, weights = (b.column(c).to_pylist() for c in ("fp", "label", "tokens", "weights"))
-        links, i = [], 0
+        links, i = set(), 0
         while i < n:
             j = i + 1
             while j < n and groups[j] == groups[i]:
@@ -304,10 +303,10 @@ def _verify_rows(batches):
                 ends = np.cumsum(part.sizes)
                 leaders += [Leader(part.fps[r], part.labels[r], part.tokens[ends[r] - part.sizes[r] : ends[r]], part.totals[r]) for r in range(j - i)]
             else:
-                links += group_links(leaders, part)
+                links |= group_links(leaders, part)
             i = j
         if links:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*sorted(links), strict=True)], names=["a", "b"])
 
 
 def _node(a: str, b: str):
@@ -316,7 +315,7 @@ def _node(a: str, b: str):
 
 
 def _verified(groups: DataFrame, tokens: DataFrame, n: int, name: str) -> DataFrame:
-    """groups: g string, salt int, block int, other int (0: leader), fp, label. Staged links a, b."""
+    """groups: g string, salt int, block int, other int (0: leader), fp, label. Staged links a, b between labels, which are nodes themselves."""
     keys = ["g", "salt", "block"]
     full = groups.join(tokens, "fp").select(*keys, "other", "fp", "label", "tokens", "weights")
     dealt = full.repartition(n, *keys) if n > int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")) else full.repartition(*keys)  # small ones are put together
