@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,28 +39,23 @@ def top_names(counted: DataFrame, most: int = 20, longest: int = 200) -> DataFra
 def share_budget(lists: list[list[tuple[str, int]]], most: int, budget: int, longest: int = 200) -> tuple[list[list[tuple[str, int]]], list[int]]:
     """A budget of characters dealt over lists, a row of each in turn; what is not shown is summed.
 
-    Each decision hangs on those before, so this runs on the bounded lists that `top_names` leaves.
+    The rows of all lists make one order, by place in their list and then by list; a running sum of costs
+    goes along it, and a list ends at its first row that no longer fits. Each step hangs on those before,
+    so this runs on the bounded lists that `top_names` leaves.
     """
-    import json
-
-    queues = [sorted(rows, key=lambda r: (-r[1], r[0])) for rows in lists]
-    shown, rest, at, is_open = [[] for _ in lists], [0] * len(lists), [0] * len(lists), [True] * len(lists)
-    for _ in range(most):
-        for i, rows in enumerate(queues):
-            while is_open[i] and at[i] < len(rows) and len(rows[at[i]][0]) > longest:
-                rest[i] += rows[at[i]][1]
-                at[i] += 1
-            if not is_open[i] or at[i] >= len(rows):
-                continue
-            name, n = rows[at[i]]
-            cost = len(json.dumps(name, ensure_ascii=False)) + len(str(n)) + 2
-            if cost > budget:
-                is_open[i] = False
-                continue
-            budget -= cost
-            shown[i].append((name, n))
-            at[i] += 1
-    return shown, [r + sum(n for _, n in rows[k:]) for r, rows, k in zip(rest, queues, at, strict=True)]
+    offers = []
+    for number, rows in enumerate(lists):
+        ranked = sorted((r for r in rows if len(r[0]) <= longest), key=lambda r: (-r[1], r[0]))
+        offers += [(place, number, name, n) for place, (name, n) in enumerate(ranked[:most])]
+    spent, ended, shown = 0, set(), [[] for _ in lists]
+    for _, number, name, n in sorted(offers):
+        cost = len(json.dumps([name, n], ensure_ascii=False)) - 2
+        if number in ended or spent + cost > budget:
+            ended.add(number)
+        else:
+            spent += cost
+            shown[number].append((name, n))
+    return shown, [sum(n for _, n in rows) - sum(n for _, n in own) for rows, own in zip(lists, shown, strict=True)]
 
 
 def missing_months(rows: DataFrame, date: str, by: str) -> DataFrame:
