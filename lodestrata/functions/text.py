@@ -6,6 +6,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,6 +74,11 @@ def once(value: Column, condition) -> Column:
     return F.exists(F.array(value), condition)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once a row: a bound variable is not copied by the optimiser."""
+    return F.transform(F.array(value), use)[0]
+
+
 @dataclass(frozen=True)
 class Stem:
     """One word of a formulation: a text has it if the pattern is found. re2 is the same without look-around."""
@@ -151,18 +157,55 @@ def mended(text: Column) -> Column:
     return F.when(fits, again).otherwise(text)
 
 
-def cleaned(text: Column, most: int = 300) -> Column:
-    """Text of an outside party for a report: no tags, addresses, long numbers or codes, bounded."""
-    out = F.regexp_replace(text, "<[^>]*>", " ")
-    for pattern, mark in ((r"(?i)https?://\S+", "[url]"), (r"[^\s@]+@[^\s@]+\.[^\s@]+", "[email]"), (r"\d[\d.\-/]{9,}\d", "[numero]"), ("[A-Za-z0-9]{20,}", "[codigo]"), (r"[\x00-\x1f\x7f]+", " ")):
-        out = F.regexp_replace(out, pattern, F.regexp_replace(F.lit(mark), r"\$", ""))
-    return truncated(squeeze(out), most)
+# What is taken out of an outside party's text, and what stands for it.
+TAKEN_OUT = (
+    (r"<[^>]*>", " "),
+    (r"(?i)https?://\S+|www\.\S+", "[endereço retirado]"),
+    (r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "[e-mail retirado]"),
+    (r"\d[\d.\-/]{9,}\d", "[número retirado]"),
+    (r"(?<![\w-])(?=[\w-]*\d)(?=[\w-]*[A-Za-z])[\w-]{20,}(?![\w-])", "[código retirado]"),
+    (r"[`<>{}\x00-\x1f\x7f]", " "),
+)
+
+
+def cleaned(text: Column, most: int = 200) -> Column:
+    """Text of an outside party for a report: no tags, addresses, long numbers or codes (letters and digits), bounded."""
+    out = text
+    for pattern, mark in TAKEN_OUT:
+        out = F.regexp_replace(out, pattern, mark)
+    return _bound_length(squeeze(out), most)
+
+
+def _bound_length(text: Column, most: int) -> Column:
+    return bound(text, lambda t: F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…"))).otherwise(t))
 
 
 #: Block tags that end a line.
-BLOCK_TAGS = "p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|blockquote|pre|title"
-#: Character references of markup and white space; the names beyond these are decoded by a Python function where pages carry them.
+BLOCK_TAGS = "address|article|aside|blockquote|body|br|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul"
+#: Character references of markup and white space, decoded inside the JVM.
 REFERENCES = (("&nbsp;", " "), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+#: Any reference, by name or number.
+ANY_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _character(reference: Column) -> Column:
+    """What a reference stands for; one of no known name, or of no character, stays."""
+    number = F.when(reference.rlike("^&#[xX]"), F.conv(F.substring(reference, 4, 6), 16, 10)).when(reference.startswith("&#"), F.regexp_extract(reference, "[0-9]+", 0)).cast("int")
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    named = F.map_from_arrays(F.lit(sorted(name2codepoint)), F.lit([chr(name2codepoint[n]) for n in sorted(name2codepoint)]))
+    name = F.regexp_replace(reference, "[&;]", "")
+    return F.coalesce(F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")), F.when(name == "apos", "'"), named[name], reference)
+
+
+def _decoded(text: Column) -> Column:
+    """Character references decoded once, left to right; texts with the usual ones only take the short way."""
+    plain = text
+    for name, char in REFERENCES:
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    known = "|".join(name[1:-1] for name, _ in REFERENCES)
+    other = text.rlike(rf"&(?!(?:{known});)(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z][A-Za-z0-9]+;)")
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(ANY_REFERENCE), F.lit(0)), _character), F.array(F.lit("")))
+    return F.when(other, F.array_join(F.zip_with(F.split(text, ANY_REFERENCE, -1), found, lambda piece, char: F.concat(piece, char)), "")).otherwise(plain)
 
 
 def html_text(source: Column) -> Column:
@@ -171,7 +214,7 @@ def html_text(source: Column) -> Column:
     out = F.regexp_replace(out, r"[\r\n]+", " ")
     out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCK_TAGS})(?:\s[^>]*)?/?>", "\n")
     out = F.regexp_replace(out, r"<[^>]*>", "")
-    for name, char in REFERENCES:
-        out = F.replace(out, F.lit(name), F.lit(char))
+    # bound, so the steps before are made once a row
+    out = bound(out, _decoded)
     out = F.regexp_replace(out, r"[ \t\u00a0]+", " ")
     return F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"^\s+|\s+$|(?<=\n)\n+", "")

@@ -26,9 +26,11 @@ def retrieve(docs: DataFrame, formulations: list[str], courts: list[str], *, key
     folded = docs.where(F.col(court).isin(courts)).withColumn("_folded", fold(F.col(text)))
     counts = [F.struct(F.lit(n).alias("formulation"), sum((s.within(F.col("_folded")).cast("int") for s in stems(f)), F.lit(0)).alias("matched")) for n, f in enumerate(formulations)]
     hits = folded.select(F.col(key), F.col(court).alias("court"), F.inline(F.array(*counts))).where("matched > 0")
-    position = F.row_number().over(Window.partitionBy("formulation", "court").orderBy(F.col("matched").desc(), F.col(key).asc())) - 1
+    place = F.row_number().over(Window.partitionBy("formulation", "court").orderBy(F.col("matched").desc(), F.col(key).asc()))
     order = F.element_at(F.create_map(*[x for n, c in enumerate(courts) for x in (F.lit(c), F.lit(n))]), F.col("court")) * len(formulations) + F.col("formulation")
-    return hits.withColumn("position", position).where(F.col("position") < most).withColumn("task_order", (order * most + F.col("position")).cast("long"))
+    # the bound stands on the number itself, so each task keeps its best rows before the shuffle
+    best = hits.withColumn("_place", place).where(F.col("_place") <= most).withColumn("position", F.col("_place") - 1).drop("_place")
+    return best.withColumn("task_order", (order * most + F.col("position")).cast("long"))
 
 
 def fuse(docs: DataFrame, formulations: list[str], courts: list[str], *, key="doc_id", court="lang", text="text", most=50, per_task=50, each=3) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import expression, fold, fold_plain, normalise, normalise_plain, once
+from ..functions.text import bound, expression, fold, fold_plain, normalise, normalise_plain, once
 
 def read_query(query: str) -> list[str]:
     """Words and "phrases" of a query."""
@@ -34,9 +35,16 @@ def build_index(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()
     core = F.regexp_replace(normalise(F.col(text)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     parts = F.split(core, r"(?! [\p{L}\p{N}])[^\p{L}\p{N}]+")
     words = F.flatten(F.transform(parts, lambda part, i: F.transform(F.split(part, " "), lambda w: F.struct(w.alias("term"), i.alias("cut")))))
-    flat = docs.select(key, *keep, F.posexplode(words).alias("n", "w")).where("w.term <> ''")
-    placed = flat.select(key, *keep, F.col("w.term").alias("term"), (F.col("n") + F.col("w.cut")).alias("position"))
-    return placed.groupBy("term", key, *keep).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    placed = F.array_sort(F.transform(words, lambda w, n: F.struct(w["term"].alias("term"), (n + w["cut"]).alias("position"))))
+
+    # a document's places are grouped inside its row: where a term begins in the sorted places, and where the next one does
+    def grouped(w: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (w[i]["term"] != w[F.greatest(i - 1, F.lit(0))]["term"]))
+        entry = lambda i, j: F.struct(w[i]["term"].alias("term"), F.transform(F.slice(w, i + 1, j - i), lambda x: x["position"]).alias("positions"))
+        return bound(begins, lambda b: F.zip_with(b, F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size(w))), entry))
+
+    rows = docs.where(F.col(text).isNotNull()).select(key, *keep, F.explode(bound(placed, grouped)).alias("_e"))
+    return rows.select("_e.term", key, *keep, "_e.positions").where("term <> ''")
 
 
 def vocabulary(index: DataFrame) -> DataFrame:
@@ -44,12 +52,24 @@ def vocabulary(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).cast("long").alias("n"))
 
 
-def write_index(index: DataFrame, path: str, partition: str | None = None) -> None:
-    """As Parquet, sorted by term inside its files, so row groups can be skipped."""
-    out = index.repartition("term").sortWithinPartitions("term").write.mode("overwrite")
+def write_index(index: DataFrame, key: str, path: str, partition: str | None = None) -> None:
+    """As Parquet, in ranges of (term, key), so a frequent term is dealt over files and a search skips row groups."""
+    out = index.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite")
     (out.partitionBy(partition) if partition else out).parquet(path)
 
 
+def stored_index(docs: DataFrame, key: str, text: str, folder: str) -> DataFrame:
+    """The index of a table's files, built once: its name says which files, of what size and date, so a changed table has another."""
+    spark = docs.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    states = [fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(fs_path) for fs_path in map(spark._jvm.org.apache.hadoop.fs.Path, sorted(docs.inputFiles()))]
+    said = "|".join(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in states) + f"|{key}|{text}"
+    path = f"{folder}/index_{hashlib.sha256(said.encode()).hexdigest()[:24]}"
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        write_index(build_index(docs.select(key, text), key, text), key, path)
+    return spark.read.parquet(path)
+
+
 def search_index(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
     """Keys of the documents that have every term (word or phrase). Only the terms' postings are read; one shuffle by key."""
     plan = [term_words(normalise_plain(t)) for t in terms]

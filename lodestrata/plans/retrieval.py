@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import digits, expression_re2, formless, html_text, mended, normalise, seems_cut, stems, summary_key
+from ..functions.staging import shared_folder, spread
 from ..operators import dedup, filters, fusion, ranking, search
 
 FORMULATIONS = ["thering ertion that from", "ontion indthe with ones", "que les pour dans"]
@@ -30,7 +31,7 @@ def register(sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def q(text: str) -> str:
@@ -240,8 +241,8 @@ _FOUND = " AND ".join(f"regexp_matches(n, '{q(expression_re2(t))}')" for t in TE
 
 @register(f"SELECT doc_id FROM (SELECT doc_id, {NORMAL} AS n FROM documents) WHERE {_FOUND}")
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and phrases by the index; the twin scans."""
-    index = search.build_index(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
+    """Words and phrases by the stored index, which the first search of a table builds; the twin scans."""
+    index = search.stored_index(documents(spark, sf_dir), "doc_id", "text", shared_folder(spark))
     return search.search_index(index, "doc_id", TERMS)
 
 

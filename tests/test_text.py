@@ -64,4 +64,12 @@ def test_html_text(spark):
 
 def test_truncated_and_cleaned(spark):
     assert one(spark, "abcdef", lambda c: m.truncated(c, 3)) == "abc…"
-    assert one(spark, "<b>x</b> https://a.b/c me@x.org 123.456.789-00", m.cleaned) == "x [url] [email] [numero]"
+    assert one(spark, "<b>x</b> https://a.b/c me@x.org 123.456.789-00", m.cleaned) == "x [endereço retirado] [e-mail retirado] [número retirado]"
+    assert one(spark, "see www.a.b/c, a1b2c3d4e5f6g7h8i9j0 but internationalizations stay `x`", m.cleaned) == "see [endereço retirado] [código retirado] but internationalizations stay x"
+    assert one(spark, "z" * 300, m.cleaned) == "z" * 199 + "…"
+
+
+def test_character_references(spark):
+    page = "<p>&eacute;&#233;&#xE9; &amp;eacute; &mdash;&unknown; &#0; &aring&nbsp;x &#128512;</p><dl><dt>a<dd>b</dl>"
+    assert one(spark, page, m.html_text) == "ééé &eacute; —&unknown; &#0; &aring x 😀\na\nb"
+    assert one(spark, "a &lt;b&gt; &amp;amp;", m.html_text) == "a <b> &amp;"
