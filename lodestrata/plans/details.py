@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import passages
+from ..functions.staging import spread
 from ..operators import filters, merging, panorama
 from .retrieval import FORMULATIONS, ranked_search
 
@@ -24,7 +25,8 @@ def register(sql: str | None = None):
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 @register()
@@ -44,22 +46,16 @@ def page_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BARE = "regexp_replace(strip_accents(lower({0})), '[^a-z0-9]', '', 'g')"
 
 
-@register(f"""WITH d AS (SELECT doc_id, lang, {_BARE.format('text')} AS b FROM documents WHERE doc_id % 7 = 0), p AS (SELECT a.doc_id, a.b AS body, c.b AS target FROM d a JOIN d c ON c.doc_id = a.doc_id + 7),
-k AS (SELECT doc_id, target, list_transform(range(CAST(floor(length(body) / 40) AS BIGINT)), lambda i: substr(body, i * 40 + 1, 40)) AS bl FROM p) SELECT doc_id, CASE WHEN len(bl) = 0 THEN 0.0::DOUBLE ELSE round(len(list_filter(bl, lambda x: contains(target, x))) / len(bl), 9) END AS share FROM k""")
-def summary_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a summary's blocks that another text contains, for each seventh document, as its SQL twin."""
-    return _overlaps(t(spark, sf_dir, "documents").where("doc_id % 7 = 0"))
-
-
 def _overlaps(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", "text")
     other = d.select((F.col("doc_id") - 7).alias("doc_id"), F.col("text").alias("target"))
     return d.join(other, "doc_id").select("doc_id", F.round(passages.overlap(F.col("text"), F.col("target")), 9).alias("share"))
 
 
-@register()
-def summary_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every document (no SQL twin; tested against plain Python)."""
+@register(f"""WITH d AS (SELECT doc_id, lang, {_BARE.format('text')} AS b FROM documents), p AS (SELECT a.doc_id, a.b AS body, c.b AS target FROM d a JOIN d c ON c.doc_id = a.doc_id + 7),
+k AS (SELECT doc_id, target, list_transform(range(CAST(floor(length(body) / 40) AS BIGINT)), lambda i: substr(body, i * 40 + 1, 40)) AS bl FROM p) SELECT doc_id, CASE WHEN len(bl) = 0 THEN 0.0::DOUBLE ELSE round(len(list_filter(bl, lambda x: contains(target, x))) / len(bl), 9) END AS share FROM k""")
+def summary_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of a summary's blocks that another text contains."""
     return _overlaps(t(spark, sf_dir, "documents"))
 
 
@@ -83,16 +79,9 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.latest_versions(rows, "k", ["a", "b"], "o").select("o", "k")
 
 
-@register("WITH u AS (SELECT doc_id % 300 AS k, left(text, 40) AS v, 0 AS n FROM documents UNION ALL SELECT doc_id % 500, left(text, CAST(doc_id % 60 AS INTEGER)), 1 FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY length(v) DESC, n, v DESC) AS rn FROM u) SELECT k, max(v) FILTER (WHERE rn = 1) AS v, count(DISTINCT n) AS n_lists FROM r GROUP BY k")
+@register("WITH u AS (SELECT doc_id % 300 AS k, text AS v, 0 AS n FROM documents UNION ALL SELECT doc_id % 500, text, 1 FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY length(v) DESC, n, v DESC) AS rn FROM u) SELECT k, max(v) FILTER (WHERE rn = 1) AS v, count(DISTINCT n) AS n_lists FROM r GROUP BY k")
 def pooled_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One list of several, the longest value standing, over starts of the texts, as its SQL twin."""
-    d, i = t(spark, sf_dir, "documents"), F.col("doc_id")
-    return merging.pool([d.select((i % 300).alias("k"), F.substring("text", 1, 40).alias("v")), d.select((i % 500).alias("k"), F.substring(F.col("text"), F.lit(1), (i % 60).cast("int")).alias("v"))], "k", "v")
-
-
-@register()
-def pooled_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over whole texts (no SQL twin; tested against plain Python)."""
+    """One list of several, the longest value standing."""
     d, i = t(spark, sf_dir, "documents"), F.col("doc_id")
     return merging.pool([d.select((i % 300).alias("k"), F.col("text").alias("v")), d.select((i % 500).alias("k"), F.col("text").alias("v"))], "k", "v")
 
@@ -174,15 +163,8 @@ def notices_as_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.when(shown == "", "").otherwise(F.sha2("text", 256)).alias("content"))
 
 
-@register("SELECT o_orderpriority AS court, c_mktsegment AS name, count(*) AS n, count(*) <= 3 AS caveat FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 = 0 GROUP BY ALL")
+@register("SELECT o_orderpriority AS court, c_name AS name, count(*) AS n, count(*) <= 3 AS caveat FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
 def name_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """So few rows under a name that its spelling may be the reason, in one of 97 orders, as its SQL twin."""
-    rows = t(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").join(t(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("name")), F.col("o_custkey") == F.col("c_custkey"))
-    return panorama.name_caveat(rows.groupBy(F.col("o_orderpriority").alias("court"), "name").agg(F.count(F.lit(1)).alias("n")), "n")
-
-
-@register()
-def name_caveats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of customers' names, over all orders (no SQL twin; tested against plain Python)."""
+    """So few rows under a name that its spelling may be the reason."""
     rows = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name")), F.col("o_custkey") == F.col("c_custkey"))
     return panorama.name_caveat(rows.groupBy(F.col("o_orderpriority").alias("court"), "name").agg(F.count(F.lit(1)).alias("n")), "n")

@@ -24,7 +24,7 @@ def got(spark, name):
 def test_range_join(spark, rows):
     ranges = [(p["p_partkey"], p["p_partkey"] * 3, p["p_partkey"] * 3 + p["p_size"]) for p in rows("part")]
     want = [(r["l_orderkey"], r["l_linenumber"], k) for r in rows("lineitem") for k, a, b in ranges if a <= r["l_partkey"] % 2000 <= b]
-    assert got(spark, "range_join_whole") == sorted(want)
+    assert got(spark, "range_join") == sorted(want)
 
 
 def test_paradigm_notes(spark, rows):
@@ -32,7 +32,7 @@ def test_paradigm_notes(spark, rows):
     for c in rows("customer"):
         notes[c["c_custkey"] % 7, c["c_custkey"] % 90].append(f"tema {c['c_custkey']}")
     want = [(o["o_orderkey"], ";".join(sorted(notes.get((o["o_orderkey"] % 7, o["o_custkey"] % 120), [])))) for o in rows("orders")]
-    assert got(spark, "paradigm_notes_whole") == sorted(want)
+    assert got(spark, "paradigm_notes") == sorted(want)
 
 
 def test_cited_data(spark, rows):
@@ -51,7 +51,7 @@ def test_cited_data(spark, rows):
             want.append((u, k, "conflict" if bad else "confirmed", bad, open_, len(scored) - 1))
         else:
             want.append((u, None, "unverified", 0, 0, 0))
-    found = {r.cite: tuple(r) for r in registry.QUERIES["cited_data_whole"](spark, D).collect()}
+    found = {r.cite: tuple(r) for r in registry.QUERIES["cited_data"](spark, D).collect()}
     assert found == {w[0]: w for w in want}
 
 
@@ -70,7 +70,7 @@ def test_canonical_identity(spark, rows):
             if x not in label:
                 label[x] = n
                 todo += near[x]
-    assert got(spark, "canonical_identity_whole") == sorted(label.items())
+    assert got(spark, "canonical_identity") == sorted(label.items())
 
 
 def test_month_gaps(spark, rows):
@@ -78,7 +78,7 @@ def test_month_gaps(spark, rows):
     for o in rows("orders"):
         have[o["o_custkey"]].add(o["o_orderdate"].year * 12 + o["o_orderdate"].month - 1)
     want = [(k, f"{m // 12}-{m % 12 + 1:02}-01") for k, ms in have.items() for m in range(min(ms), max(ms) + 1) if m not in ms]
-    assert want and [(k, str(m)) for k, m in got(spark, "month_gaps_whole")] == sorted(want)
+    assert want and [(k, str(m)) for k, m in got(spark, "month_gaps")] == sorted(want)
 
 
 def test_name_caveats(spark, rows):
@@ -86,7 +86,7 @@ def test_name_caveats(spark, rows):
     n = Counter((o["o_orderpriority"], names[o["o_custkey"]]) for o in rows("orders") if o["o_custkey"] in names)
     want = sorted((*k, x, x <= 3) for k, x in n.items())
     assert {w[3] for w in want} == {True, False}
-    assert got(spark, "name_caveats_whole") == want
+    assert got(spark, "name_caveats") == want
 
 
 def test_summary_overlap(spark, tmp_path):
@@ -100,7 +100,7 @@ def test_summary_overlap(spark, tmp_path):
             b, other = bare(x), bare(texts[n + 7])
             blocks = [b[i : i + 40] for i in range(0, len(b) - 39, 40)]
             want[n] = round(sum(k in other for k in blocks) / len(blocks), 9) if blocks else 0.0
-    found = {r.doc_id: r.share for r in registry.QUERIES["summary_overlap_whole"](spark, str(tmp_path)).collect()}
+    found = {r.doc_id: r.share for r in registry.QUERIES["summary_overlap"](spark, str(tmp_path)).collect()}
     assert found == want and len(want) == 16 and any(0 < v < 1 for v in want.values())
 
 
@@ -109,7 +109,7 @@ def test_pooled_lists(spark, rows):
     for d in rows("documents"):
         for n, size in enumerate((300, 500)):
             values[d["doc_id"] % size].append((d["text"], n))
-    found = {r.k: (r.v, r.n_lists) for r in registry.QUERIES["pooled_lists_whole"](spark, D).collect()}
+    found = {r.k: (r.v, r.n_lists) for r in registry.QUERIES["pooled_lists"](spark, D).collect()}
     assert found.keys() == values.keys()
     for k, vs in values.items():
         texts = [v for v, _ in vs if v is not None]
