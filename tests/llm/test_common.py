@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import common as c
+from lodestrata.llm import components as components_module
 from lodestrata.llm.components import components
 
 
@@ -46,11 +48,17 @@ def test_later_occurrences_over_many_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 150)] + [(200, 200)]
+    r = random.Random(9)
+    r.shuffle(edges)
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 150)} == {100} and 200 not in got
     assert components(spark.createDataFrame([], "a long, b long").where(F.lit(True)), "t").collect() == []
+    named = {r.node: r.label for r in components(spark.createDataFrame([("c", "b"), ("b", "a"), ("z", "y")], "a string, b string"), "t").collect()}
+    assert named == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
 
 
 def test_bounded_arrays_change_nothing(monkeypatch):
