@@ -41,6 +41,8 @@ CACHE = 300_000
 KEPT = 64
 #: Characters that are read at a time, and after which paths are first looked at.
 STRIDE = 64
+#: Score of a node that no path reaches.
+LEAST = -math.inf
 #: What a character without a piece costs beyond the least score.
 UNKNOWN = 10.0
 
@@ -75,17 +77,14 @@ class Vocabulary:
                 self.out.append(piece.replace(MARK, " ").encode())
                 least = min(least, score)
         self.unknown = least - UNKNOWN
-        #: Longest piece that starts with a character.
-        self.reach: dict[str, int] = {}
-        for p in self.pieces:
-            self.reach[p[0]] = max(self.reach.get(p[0], 1), len(p))
         self.longest = max(map(len, self.pieces), default=1)
-        #: (score, id) of pieces, None for what only begins one.
-        self.table: dict[str, tuple[float, int] | None] = {}
-        for p in self.pieces:
-            for n in range(1, len(p)):
-                self.table.setdefault(p[:n], None)
-        self.table |= self.pieces
+        #: The pieces as a tree: character -> (what follows, score, id; -1 for what only begins a piece).
+        self.tree: dict[str, list] = {}
+        for p, (score, i) in self.pieces.items():
+            here = self.tree
+            for c in p[:-1]:
+                here = here.setdefault(c, [{}, 0.0, -1])[0]
+            here.setdefault(p[-1], [{}, 0.0, -1])[1:] = score, i
         #: No piece goes on with a word mark after another character, nor over a line feed.
         self.cuts = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.pieces)
 
@@ -95,7 +94,7 @@ class Vocabulary:
 
 def viterbi(chars: Iterable[str], v: Vocabulary) -> Iterator[int]:
     """Ids of a stream of characters (any iterable), given out as soon as no later character can change them."""
-    get, longest, unknown = v.table.get, v.longest, v.unknown
+    tree, longest, unknown = v.tree, v.longest, v.unknown
     source = iter(chars)
     text = ""  # what is not committed
     start = 0  # place in the text of the next character whose pieces are to be tried
@@ -106,22 +105,25 @@ def viterbi(chars: Iterable[str], v: Vocabulary) -> Iterator[int]:
             more = "".join(islice(source, STRIDE))
             ended = len(more) < STRIDE
             text += more
-            best += [-math.inf] * len(more)
+            best += [LEAST] * len(more)
             back += [0] * len(more)
             ids += [0] * len(more)
         n = len(text)
         stop = n if ended else n - longest + 1
         while start < stop:
-            here, single = best[start], False
-            if here > -math.inf:
-                for e in range(start + 1, min(n, start + longest) + 1):
-                    p = get(text[start:e], 0)
-                    if p == 0:
+            here, single, node, e = best[start], False, tree, start
+            if here > LEAST:
+                for c in text[start : start + longest]:
+                    found = node.get(c)
+                    if found is None:
                         break
-                    if p is not None:
-                        single = single or e == start + 1
-                        if here + p[0] > best[e]:
-                            best[e], back[e], ids[e] = here + p[0], start, p[1]
+                    e += 1
+                    node, score, piece = found
+                    if piece >= 0:
+                        if e == start + 1:
+                            single = True
+                        if here + score > best[e]:
+                            best[e], back[e], ids[e] = here + score, start, piece
                 if not single and here + unknown > best[start + 1]:
                     best[start + 1], back[start + 1], ids[start + 1] = here + unknown, start, -1
             start += 1
@@ -156,7 +158,7 @@ def _meeting(best: list[float], back: list[int], start: int, end: int) -> int:
     marked = bytearray(end + 1)
     n = 0
     for x in range(start, end + 1):
-        if best[x] > -math.inf:
+        if best[x] > LEAST:
             marked[x], n = 1, n + 1
     for x in range(end, 0, -1):
         if marked[x]:
