@@ -160,7 +160,7 @@ def journal_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT page_id, CASE WHEN NOT starts_with(url, 'https://') THEN 'link_shape' WHEN NOT contains(html, '<article>') THEN 'no_article' WHEN NOT contains(html, '</html>') THEN 'cut' WHEN length(html) < 1500 THEN 'too_short' END AS reason FROM pages")
 def guarded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of guards, the first that fails being the reason; no text without all."""
+    """A chain of guards, the first that fails being the reason; no text without all."""
     u, h = F.col("url"), F.col("html")
     out = answers.guarded(h, [("link_shape", u.startswith("https://")), ("no_article", h.contains("<article>")), ("cut", h.contains("</html>"))], 1500)
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", out["reason"].alias("reason"))
