@@ -146,7 +146,6 @@ def summary_alone(court: Column, field: Column) -> Column:
     given) or null (the field is as it was). The summary is always one slice of the field.
     """
     text = F.regexp_replace(field, r"^\s+|\s+$", "")
-    head = F.substring(text, 1, LONGEST_HEAD + 60)
 
     def begin(h: Column) -> Column:
         plain = _after(h, _reach(h, PARTY), SUMMARY_MARK)
@@ -157,26 +156,29 @@ def summary_alone(court: Column, field: Column) -> Column:
         b = F.when(by_card["start"] <= LONGEST_HEAD, F.struct(by_card["start"].alias("at"), by_card["end"].alias("from")))
         return F.least(a, b)["from"]
 
-    def part(s: Column) -> Column:
-        rest = F.substring(s["text"], s["from"] + 1, F.length(s["text"]))
+    start_only = lambda c: F.struct(_start_of(c).alias("summary"), F.lit("start_only").alias("note"))
+    as_it_was = F.struct(field.alias("summary"), F.lit(None).cast("string").alias("note"))
+
+    def end_of(rest: Column) -> Column:
         end = _after(rest, F.lit(0), SUMMARY_END)["start"]
-        closing = F.regexp_extract(rest, rf"(?s)^(.*){CLOSING}(.*)$", 1)
-        after = F.regexp_extract(rest, rf"(?s)^.*{CLOSING}(.*)$", 1)
-        confirmed = F.when((closing != "") & after.rlike(r"(?i)\bAcordam\b") & after.rlike(r"\(\s*Classe\s*:"), F.length(closing))
-        cut = F.when(court == "tjba", F.coalesce(end, confirmed))
-        summary = F.regexp_replace(F.substring(rest, F.lit(1), F.coalesce(cut, F.length(rest))), r"\s+$", "")
-        report = F.substring(rest, cut + 1, F.lit(12)).contains("RELATÓRIO")
-        start_only = lambda c: F.struct(_start_of(c).alias("summary"), F.lit("start_only").alias("note"))
-        as_it_was = F.struct(field.alias("summary"), F.lit(None).cast("string").alias("note"))
-        split = F.when(summary.rlike(TITLE), start_only(summary)).otherwise(F.struct(summary.alias("summary"), F.when(cut.isNull(), "header").when(report, "whole_decision").otherwise("header_and_close").alias("note")))
-        return (
-            F.when(~court.isin(*WITH_HEAD) | court.isNull(), as_it_was)
-            .when(s["from"].isNull(), F.when(s["text"].rlike(TITLE), start_only(s["text"])).otherwise(as_it_was))
-            .when((court == "tjba") & cut.isNull(), start_only(rest))
-            .otherwise(split)
-        )
+        closing = F.struct(F.regexp_extract(rest, rf"(?s)^(.*){CLOSING}", 1).alias("before"), F.regexp_extract(rest, rf"(?s)^.*{CLOSING}(.*)$", 1).alias("after"))
+        confirmed = bound(closing, lambda c: F.when((c["before"] != "") & c["after"].rlike(r"(?i)\bAcordam\b") & c["after"].rlike(r"\(\s*Classe\s*:"), F.length(c["before"])))
+        return F.when(court == "tjba", F.coalesce(end, confirmed))
+
+    def told_apart(s: Column) -> Column:
+        report = F.substring(s["rest"], s["cut"] + 1, F.lit(12)).contains("RELATÓRIO")
+        note = F.when(s["cut"].isNull(), "header").when(report, "whole_decision").otherwise("header_and_close")
+        summary = F.regexp_replace(F.substring(s["rest"], F.lit(1), F.coalesce(s["cut"], F.length(s["rest"]))), r"\s+$", "")
+        checked = bound(summary, lambda c: F.when(c.rlike(TITLE), start_only(c)).otherwise(F.struct(c.alias("summary"), note.alias("note"))))
+        return F.when((court == "tjba") & s["cut"].isNull(), start_only(s["rest"])).otherwise(checked)
+
+    def parts(s: Column) -> Column:
+        whole = F.when(s["text"].rlike(TITLE), start_only(s["text"])).otherwise(as_it_was)
+        rest = F.substring(s["text"], s["from"] + 1, F.length(s["text"]))
+        return F.when(s["from"].isNull(), whole).otherwise(bound(rest, lambda r: bound(F.struct(r.alias("rest"), end_of(r).alias("cut")), told_apart)))
 
-    return bound(F.struct(text.alias("text"), bound(head, begin).alias("from")), part)
+    read = bound(text, lambda x: F.struct(x.alias("text"), bound(F.substring(x, 1, LONGEST_HEAD + 60), begin).alias("from")))
+    return F.when(court.isin(*WITH_HEAD) & field.isNotNull(), bound(read, parts)).otherwise(as_it_was)
 
 
 # Names of judging bodies, the classes of appeal, and their short forms.

@@ -83,8 +83,13 @@ def first_place(known: DataFrame, ranked: DataFrame, on: list[str], place: str)
     return known.join(best, on, "left")
 
 
+def drawn(key: str, seed: int) -> Column:
+    """A lot for each key: 32 bits of a hash that any engine can compute."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+
+
 def blind_pool(pool: DataFrame, others: DataFrame, key: str, seed: int, tenth: int = 10) -> DataFrame:
     """The pool with about one control in ten from outside it, in an order that a hash gives."""
-    controls = others.join(pool.select(key), key, "left_anti").where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(tenth)) == 0)
+    controls = others.join(pool.select(key), key, "left_anti").where(drawn(key, seed) % tenth == 0)
     both = pool.select(key, F.lit(False).alias("control")).unionByName(controls.select(key, F.lit(True).alias("control")))
-    return both.withColumn("shuffle", F.xxhash64(key, F.lit(seed + 1)))
+    return both.withColumn("shuffle", drawn(key, seed + 1))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import fold, stems
+from ..functions.text import fold, stems, truncated
 from .dedup import occurrences
-from .ranking import cut, ordered, scored
+from .ranking import cut, ordered, running, scored
+
+
+#: Sizes of a snippet, tried from the largest.
+SNIPPETS = (110, 80, 60, 40)
 
 
 class NothingAnswered(RuntimeError):
@@ -63,6 +67,13 @@ def coverage(all_tasks: DataFrame, outcomes: DataFrame, hits: DataFrame, shown:
     return per_court.join(distinct, "court", "left").join(seen, "court", "left").fillna(0, ["n_found", "n_shown"])
 
 
+def reason_counts(rows: DataFrame, key: Column, reason: str) -> DataFrame:
+    """key, counts: a map of how often each reason came, reasons in order; counted before the shuffle by key."""
+    n = rows.groupBy(key, reason).agg(F.count(F.lit(1)).alias("_n"))
+    name = n.columns[0]
+    return n.groupBy(name).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(reason, "_n")))).alias("counts"))
+
+
 def require_answer(outcomes: DataFrame) -> DataFrame:
     """The outcomes, unless none is an answer."""
     if not outcomes.where("status = 'answered'").limit(1).count():
@@ -86,6 +97,16 @@ def qualified(found: DataFrame, most: int = 10, chars: int = 300) -> DataFrame:
 
 
 def fit(items: DataFrame, place: str, size: str, budget: int) -> DataFrame:
-    """The rows from the top whose sizes together are within the budget."""
-    running = F.sum(size).over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
-    return items.withColumn("_sum", running).where(F.col("_sum") <= budget).drop("_sum")
+    """The rows from the top whose sizes together are within the budget; the order is a distributed one."""
+    return running(items, [F.col(place).asc()], size, "_sum").where(F.col("_sum") <= budget).drop("_sum")
+
+
+def fit_snippets(items: DataFrame, place: str, snippet: str, budget: int, sizes: tuple[int, ...] = SNIPPETS) -> DataFrame:
+    """All rows with snippets of the largest size at which they are within the budget; if none will do, as many rows from
+    the top as fit with the smallest. Adds `shown`. Sums of all sizes come from one pass."""
+    cut_to = lambda n: truncated(F.coalesce(F.col(snippet), F.lit("")), n)
+    totals = items.agg(*[F.sum(F.length(cut_to(n))).alias(f"s{n}") for n in sizes]).first()
+    for n in sizes:
+        if (totals[f"s{n}"] or 0) <= budget:
+            return items.withColumn("shown", cut_to(n))
+    return fit(items.withColumn("shown", cut_to(sizes[-1])).withColumn("_size", F.length("shown")), place, "_size", budget).drop("_size")

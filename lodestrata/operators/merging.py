@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.passages import STATES
+from .ranking import numbered
 
 
 def latest_versions(rows: DataFrame, key: str, identity: list[str], order: str) -> DataFrame:
@@ -88,3 +89,37 @@ def safe_rules(votes: DataFrame, rule: str, fold: str, relevant: str) -> DataFra
     chosen = c.where("lost = 0").withColumn("_n", best).where("_n = 1").select(F.col(fold).alias("fitted_on"), F.col(rule).alias("chosen"), F.col("removed").alias("removed_there"))
     other = c.select(F.col(rule).alias("chosen"), F.col(fold).alias("tried_on"), "removed", "lost")
     return chosen.join(other, "chosen", "left").where("tried_on <> fitted_on or tried_on is null")
+
+
+def copies_merged(rows: DataFrame, key: str, ids: str, formulations: str, position: str, date: str) -> DataFrame:
+    """One row a record over its copies: the union of what found them, the best place, and the dates where they differ.
+
+    Sets are reduced before the shuffle; they hold formulations and dates of one record, which are few.
+    """
+    one = rows.groupBy(key).agg(F.count_distinct(ids).alias("n_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(formulations)))).alias("formulations"), F.min(position).alias("best_position"), F.array_sort(F.collect_set(date)).alias("_dates"))
+    return one.select(key, "n_ids", "formulations", "best_position", F.when(F.size("_dates") > 1, F.col("_dates")).alias("dates_differ"))
+
+
+def theme_processes(themes: DataFrame, processes: DataFrame, key: str, process: str, leads: str, withdrawn: str, order: str) -> DataFrame:
+    """Themes with the processes that lead them, in the order of their first rows; none that was withdrawn. Themes without one stay."""
+    good = processes.where((F.col(leads) == "S") & (F.coalesce(F.trim(F.col(withdrawn)), F.lit("")) == "") & (F.trim(F.col(process)) != ""))
+    first = good.groupBy(key, F.trim(F.col(process)).alias("_p")).agg(F.min(order).alias("_at"))
+    listed = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_p"))), lambda x: x["_p"]).alias("processes"))
+    return themes.join(listed, key, "left")
+
+
+def index_order(rows: DataFrame, date: str, register: str, key: str) -> DataFrame:
+    """Adds `place`: by date, register, key, what is missing first; by code point, in one distributed order."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).asc()
+    return numbered(rows, [blank(date), blank(register), F.col(key).asc()], "place")
+
+
+def court_lists(rows: DataFrame, key: str, courts: str, group: str = "trt", members: tuple[str, ...] = tuple(f"trt{n}" for n in range(1, 25))) -> DataFrame:
+    """`expand_courts` over rows: key, place, court. A group stands for the members not asked for by name; none twice."""
+    name = lambda c: F.lower(c)
+    asked = rows.select(key, F.col(courts).alias("_all"), F.posexplode(courts).alias("_n", "_c"))
+    rest = F.array_except(F.array(*map(F.lit, members)), F.transform("_all", name))
+    spread = asked.select(key, "_n", F.posexplode(F.when(name(F.col("_c")) == group, rest).otherwise(F.array("_c"))).alias("_m", "court"))
+    once = spread.groupBy(key, F.lower("court").alias("_l")).agg(F.min(F.struct("_n", "_m", "court")).alias("f"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("f._n", "f._m"))
+    return once.select(key, place.alias("place"), F.col("f.court").alias("court"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import analytics, decisions, details, retrieval, stateful, texts
+from . import analytics, decisions, details, files, retrieval, stateful, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, analytics, stateful, texts, details, decisions):
+for _module in (retrieval, analytics, stateful, texts, details, decisions, files):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 

@@ -31,7 +31,7 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str,
     if found != columns:
         raise UnexpectedFormat(f"header {found} is not {columns}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.csv(path, schema=schema, sep=sep, header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", enforceSchema=True, encoding="UTF-8")
+    rows = spark.read.csv(path, schema=schema, sep=sep, header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", enforceSchema=False, encoding="UTF-8")
     return rows.select(*[c for c in columns if c not in drop])
 
 
