@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decisions
 from ..functions.staging import spread
+from ..operators import laws
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -141,3 +142,17 @@ def coverage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a row takes as JSON."""
     return t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), decisions.json_cost(F.col("c_name").alias("name"), F.col("c_custkey").alias("n")).alias("cost"))
+
+
+_LAW = ["Menu", "LEI DAS COISAS", "TÍTULO I", "Das Coisas", "Art. {k}. Coisa.", "I - a primeira;", "a) uma parte;", "Pena - perder.", "§ 3º. Outro:", "“Art citado", "II - dentro”", "Solto", "Parágrafo único. Só.", "Arts. 5 a 7. Revogados.", "Brasília, 1 de maio de 1990; 169º da Independência e 102º da República.", "Nome"]
+_DEVICES = [("art{k}_cpt", "Art. {k}.", "Coisa."), ("art{k}_cpt_inc1", "I -", "a primeira;"), ("art{k}_cpt_inc1_ali1", "a)", "uma parte;"), ("art{k}_cpt", None, "Pena - perder."), ("art{k}_par3", "§ 3º.", "Outro:"), ("art{k}_par3", None, "“Art citado"), ("art{k}_par3", None, "II - dentro”"), ("art{k}_par1u", "Parágrafo único.", "Só."), ("art5-7", "Arts. 5 a 7.", "Revogados.")]
+_VALUES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in _DEVICES)
+
+
+@register(f"SELECT o_orderkey AS law, replace(d, '{{k}}', CAST(o_orderkey AS VARCHAR)) AS device, replace(l, '{{k}}', CAST(o_orderkey AS VARCHAR)) AS label, t AS text FROM orders, (VALUES {_VALUES}) v(d, l, t)")
+def law_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of laws as lines, each with the device that owns it."""
+    page = F.lit("<html><body>" + "".join(f"<p>{x}</p>" for x in _LAW) + "</body></html>")
+    html = F.replace(page, F.lit("{k}"), F.col("o_orderkey").cast("string"))
+    rows = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("law"), laws.law_paragraphs(html, F.lit("LEI DAS COISAS")).alias("p"))
+    return laws.law_lines(rows, "law", "p").select("law", "device", "label", "text")

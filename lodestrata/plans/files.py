@@ -11,7 +11,7 @@ from ..functions import passages
 from ..functions.staging import shared_folder, spread
 from ..functions.text import truncated
 from ..operators import evaluate, fusion, merging, references, snapshot
-from ..sources import readers, stores
+from ..sources import answers, readers, stores
 from ..streaming import limits
 
 QUERIES: dict = {}
@@ -253,3 +253,23 @@ def safe_year_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "lineitem").select(year.alias("y"), (F.col("l_orderkey") % 2).alias("half"), ((year <= 1995) & (F.col("l_orderkey") % 3 == 0)).alias("relevant"))
     votes = rows.withColumn("x", F.explode(F.array(*map(F.lit, _YEARS)))).where("y > x").select(F.concat(F.lit("year>"), F.col("x").cast("string")).alias("rule"), "half", "relevant")
     return merging.safe_rules(votes, "rule", "half", "relevant")
+
+
+@register("SELECT o_orderkey AS page, CAST(o_orderkey * 2 + n AS VARCHAR) AS id, lpad(CAST(o_orderkey AS VARCHAR), 7, '0') || '-11.2020.4.04.7000' AS number, 'Apelação Cível' AS class, DATE '2024-03-05' AS day, CASE WHEN n = 1 THEN 'Ana (relator para o acórdão: Rui)' ELSE 'Ana' END AS rapporteur, CASE WHEN n = 0 THEN 'Coisa & causa ' || o_orderkey END AS summary, CAST(1 - n AS BIGINT) AS n_repeated FROM orders, range(2) r(n)")
+def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of a federal source's page, strictly read; a card that stands twice is one."""
+    k = F.col("o_orderkey")
+    text = lambda c: c if hasattr(c, "alias") else F.lit(c)
+    field = lambda name, value: F.concat(F.lit(f'<div class="row"><div class="col resLabel">{name}</div><div class="col resValue">'), text(value), F.lit("</div></div>"))
+
+    def card(n: int, *more):
+        id_ = (k * 2 + n).cast("string")
+        number = F.concat(F.lpad(k.cast("string"), 7, "0"), F.lit("-11.2020.4.04.7000/TRF4 AC - Apela&ccedil;&atilde;o Cível"))
+        summary = F.concat(F.lit("<p>Coisa &amp; causa "), k.cast("string"), F.lit("</p>")) if n == 0 else F.lit("")
+        head = F.concat(F.lit('<div class="card mb-3 resultadoItem" id="resultado'), id_, F.lit('"><a href="#" data-link="https://www.trf4.jus.br/x?a=1&amp;id_jurisprudencia='), id_, F.lit('">x</a>'))
+        return F.concat(head, field("PROCESSO", number), field("UF", "PR"), field("DATA DO JULGAMENTO", "05/03/2024"), field("DATA DA PUBLICAÇÃO", "31/02/2024"), field("RELATORA", "Ana"), *more, field("EMENTA", summary), F.lit("</div>"))
+
+    html = F.concat(F.lit('<input type="hidden" id="hdnTotalResultado" value="3"><!-- <div class="resultadoItem"> -->'), card(0), card(1, field("RELATOR PARA ACÓRDÃO", "Rui")), card(0), F.lit("<div>fim</div>"))
+    rows = t(spark, sf_dir, "orders").select(k.alias("page"), html.alias("html"))
+    out = answers.cards(rows, "page", "html", "TRF4", "trf4\\.jus\\.br")
+    return out.select("page", "id", "number", "class", "day", "rapporteur", "summary", "n_repeated")

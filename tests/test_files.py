@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import evaluate, fusion, merging
 from lodestrata.plans import registry
-from lodestrata.sources import readers, stores
+from lodestrata.sources import answers, readers, stores
 from lodestrata.streaming import limits
 
 D = "/root/testdata/sf0.001"
@@ -92,3 +92,32 @@ def test_merged_copies(spark):
 def test_reasons_as_a_map(spark):
     rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, None)], "k int, r string").where("r is not null")
     assert {r.k: r.counts for r in fusion.reason_counts(rows, F.col("k"), "r").collect()} == {1: {"a": 1, "b": 2}}
+
+
+def _page(total, *cards):
+    return f'<input id="hdnTotalResultado" value="{total}">' + "".join(cards)
+
+
+def _card(n, summary="S", process="0000001-11.2020.4.04.7000/TRF4 AC - Ação", link="https://x.trf4.jus.br/d?id_jurisprudencia={n}"):
+    field = lambda k, v: f'<div class="resLabel">{k}</div><div class="resValue">{v}</div>'
+    values = [("PROCESSO", process), ("DATA DO JULGAMENTO", "05/03/2024"), ("DATA DA PUBLICAÇÃO", "06/03/2024"), ("RELATOR", "Ana"), ("EMENTA", summary)]
+    return f'<div class="resultadoItem" id="resultado{n}"><a data-link="{link.format(n=n)}">x</a>' + "".join(field(*v) for v in values) + "</div>"
+
+
+def _cards(spark, html):
+    return answers.cards(spark.createDataFrame([(1, html)], "k int, h string"), "k", "h", "TRF4", r"trf4\.jus\.br").orderBy("position").collect()
+
+
+def test_cards(spark):
+    got = _cards(spark, _page(3, _card(7), _card(8, ""), _card(7)))
+    assert [(r.id, r.summary, r.n_repeated, str(r.published)) for r in got] == [("7", "S", 1, "2024-03-06"), ("8", None, 0, "2024-03-06")]
+    assert _cards(spark, _page(0)) == []
+
+
+@pytest.mark.parametrize(
+    "html",
+    [_page(2, _card(7)), _card(7), _page(1, _card(7, process="no number")), _page(1, _card(7, link="https://other.br/d?id_jurisprudencia=7")), _page(1, _card(7, link="https://x.trf4.jus.br/d?id_jurisprudencia=9")), _page(2, _card(7), _card(7, "other"))],
+)
+def test_cards_out_of_form_are_an_error(spark, html):
+    with pytest.raises(Exception, match="unexpected format"):
+        _cards(spark, html)
