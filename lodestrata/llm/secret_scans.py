@@ -12,9 +12,6 @@ one case without a digit, or joined by - or _, as words are) has its threshold.
 Candidates on the allow list (placeholder words, runs of one character) and those that
 overlap a pattern's match add no span.
 
-The SQL twin is narrower: it asks for three digits and ends a candidate at - and _. Texts without such a
-key, as those of the given tables, get the same spans from both.
-
 Defined cases: null and empty texts have no spans; rows are independent, so repeated rows, ties and
 null ids need no rule; extra columns are kept by `find_secrets` and `redact_secrets`.
 """
@@ -39,9 +36,7 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"
-CANDIDATE = r"[A-Za-z0-9+/]{20,}"
 ALLOWED = r"(?:[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd]|[Cc][Hh][Aa][Nn][Gg][Ee][Mm][Ee]|0{8}|1{8}|[Xx]{8}|1234567890|abcdefghij|ABCDEFGHIJ)"
-#: As the query has them; the two above are the SQL twin's.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 TOKEN_ALPHABET = ALPHABET + "-_"
 UUID = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])"
@@ -157,14 +152,16 @@ def _sql_matches(pattern: str, keep: str, group: int = 0) -> str:
     return f"""(SELECT list_filter(list_transform(range(1, len(h) + 1), lambda i: {{'s': CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS INTEGER), 'h': h[i], 'g': g[i]}}), lambda m: {keep}) FROM (SELECT regexp_extract_all(t, '{q}') AS h, string_split_regex(t, '{q}') AS p, regexp_extract_all(t, '{q}', {group}) AS g))"""
 
 
-_WINDOWS = f"list_min(list_transform(range(1, length(m.h) - {WINDOW - 2}), lambda a: list_sum(list_transform(range(1, {len(ALPHABET) + 1}), lambda j: ([{', '.join(map(str, NLOGN))}])[1 + {WINDOW} - length(replace(substr(m.h, a, {WINDOW}), substr('{ALPHABET}', j, 1), ''))]))))"
-_LIMIT = f"CASE WHEN regexp_matches(m.h, '^[0-9a-fA-F]+$') THEN {_most(THRESHOLDS['hex'])} WHEN regexp_matches(m.h, '[a-z]') AND regexp_matches(m.h, '[A-Z]') THEN {_most(THRESHOLDS['mixed'])} ELSE {_most(THRESHOLDS['one_case'])} END"
-_HIGH = f"regexp_matches(m.h, '[A-Za-z]') AND regexp_matches(m.h, '[0-9][^0-9]*[0-9][^0-9]*[0-9]') AND NOT regexp_matches(m.h, '{ALLOWED}') AND {_WINDOWS} <= {_LIMIT}"
+_BETWEEN = UUID.replace("(?<![0-9A-Za-z])", "(^|[^0-9A-Za-z])").replace("(?![0-9A-Za-z])", "([^0-9A-Za-z]|$)")  # no look-around there
+_CLEAR = f"regexp_replace(regexp_replace(m.h, '{_BETWEEN}', '\\1-\\2', 'g'), '{_BETWEEN}', '\\1-\\2', 'g')"
+_WINDOWS = f"list_min(list_transform(range(1, length(c) - {WINDOW - 2}), lambda a: list_sum(list_transform(range(1, {len(TOKEN_ALPHABET) + 1}), lambda j: ([{', '.join(map(str, NLOGN))}])[1 + {WINDOW} - length(replace(substr(c, a, {WINDOW}), substr('{TOKEN_ALPHABET}', j, 1), ''))]))))"
+_LIMIT = f"CASE WHEN regexp_matches(c, '^[0-9a-fA-F]+$') THEN {_most(THRESHOLDS['hex'])} WHEN regexp_matches(c, '[a-z]') AND regexp_matches(c, '[A-Z]') THEN {_most(THRESHOLDS['mixed'])} WHEN regexp_matches(c, '[0-9]') AND NOT regexp_matches(c, '[_-]') THEN {_most(THRESHOLDS['one_case'])} ELSE {_most(THRESHOLDS['words'])} END"
+_HIGH = f"list_transform([{_CLEAR}], lambda c: regexp_matches(c, '[A-Za-z]') AND NOT regexp_matches(c, '{ALLOWED}') AND {_WINDOWS} <= {_LIMIT})[1]"
 _KIND = "list_transform({c}, lambda m: {{'s': m.s, 'k': {n}, 'e': CAST(m.s + length(m.h) AS INTEGER)}})"
 _JOIN = "array_to_string(list_transform(list_sort({c}), lambda m: (['assign', 'access', 'hex', 'entropy'])[m.k + 1] || ':' || m.s || ':' || m.e), ',')"
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-f AS (SELECT doc_id, {_sql_matches(ASSIGN, "length(m.g) >= 6", 2)} AS a, {_sql_matches(ACCESS, "length(m.h) >= 20")} AS b, {_sql_matches(HEX, "length(m.h) >= 24")} AS c, {_sql_matches(CANDIDATE, _HIGH)} AS e FROM d),
+f AS (SELECT doc_id, {_sql_matches(ASSIGN, "length(m.g) >= 6", 2)} AS a, {_sql_matches(ACCESS, "length(m.h) >= 20")} AS b, {_sql_matches(HEX, "length(m.h) >= 24")} AS c, {_sql_matches(TOKEN, _HIGH)} AS e FROM d),
 k AS (SELECT doc_id, a, b, c, list_concat(list_concat({_KIND.format(c='a', n=0)}, {_KIND.format(c='b', n=1)}), {_KIND.format(c='c', n=2)}) AS base, {_KIND.format(c='e', n=3)} AS e FROM f),
 x AS (SELECT *, list_filter(e, lambda y: len(list_filter(base, lambda z: z.s < y.e AND y.s < z.e)) = 0) AS extra FROM k)
 SELECT doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(b) AS BIGINT) AS n_access, CAST(len(c) AS BIGINT) AS n_hex, sha256({_JOIN.format(c='base')}) AS base_sha256, {_JOIN.format(c='list_concat(base, extra)')} AS spans FROM x

@@ -13,10 +13,11 @@ def brute(text):
     for k, p, ok in ((0, m.ASSIGN, lambda x: len(x.group(2)) >= 6), (1, m.ACCESS, lambda x: len(x.group()) >= 20), (2, m.HEX, lambda x: len(x.group()) >= 24)):
         out += [(x.start(), k, x.end()) for x in re.finditer(p, text) if ok(x)]
     base = sorted(out)
-    for x in re.finditer("[A-Za-z0-9+/]{20,}", text):
-        c = x.group()
-        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", c) else "mixed" if re.search("[a-z]", c) and re.search("[A-Z]", c) else "one_case"
-        if not re.search("[A-Za-z]", c) or len(re.findall("[0-9]", c)) < 3 or re.search(m.ALLOWED, c) or any(s < x.end() and x.start() < e for s, _, e in base):
+    for x in re.finditer("[A-Za-z0-9+/_-]{20,}", text):
+        c = re.sub(m.UUID, "-", x.group())
+        one_case = "one_case" if re.search("[0-9]", c) and not re.search("[_-]", c) else "words"
+        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", c) else "mixed" if re.search("[a-z]", c) and re.search("[A-Z]", c) else one_case
+        if len(c) < 20 or not re.search("[A-Za-z]", c) or re.search(m.ALLOWED, c) or any(s < x.end() and x.start() < e for s, _, e in base):
             continue
         best = max(-sum(n / 20 * math.log2(n / 20) for n in (w.count(ch) for ch in set(w))) for w in (c[i : i + 20] for i in range(len(c) - 19)))
         if best >= m.THRESHOLDS[kind]:
@@ -35,6 +36,7 @@ TEXTS = [
     "deadbeefdeadbeefdeadbeef0 " + "0123456789abcdef" * 3,
     "q9Zk3LmX8vB2nC7rT5wY1pQ4 EXAMPLEq9Zk3LmX8vB2nC7rT5wY aaaaaaaaaaaaaaaaaaaaaaaa111 zz9f8e7d6c5b4a39281706f5e4d3c2b1a0",
     "token = 'abcdefgh' " * 300,
+    "qZkWLmXsvBanCbrTtwYupQs aZ3_kQ-xW7vB_tR2-mN8c 550e8400-e29b-41d4-a716-446655440000-q9Zk3LmX8vB2nC7rT5wY top-10-best-restaurants-in-2024",
     "x" * 200_000 + " token=abcdefgh " + "ab1" * 10_000,
 ]
 
