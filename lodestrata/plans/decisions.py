@@ -92,7 +92,7 @@ def summaries_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = _case(k, ["Recorrente(s): Fulano ", " ", _HEAD + "ACORDÃO ", "Apelante : Fulano ", "Agravada: Fulana ", "Apelante: A EMENTA ", "Apelante: A "])
     mark = _case(k, ["EMENTA ", "", "", "Ementa: ", "EMENTA ", "", "EMENTA "])
     after = _case(k, ["", "", " Vistos, relatados e discutidos estes autos. Acordam os juízes. ( Classe: Apelação)", " RELATÓRIO Trata-se de recurso. VOTO: nega", " VOTO: nega", "", ""])
-    rows = t(spark, sf_dir, "orders").select(k.alias("k"), decisions.summary_alone(court, F.concat(before, mark, body, after)).alias("s"))
+    rows = spread(t(spark, sf_dir, "orders")).select(k.alias("k"), decisions.summary_alone(court, F.concat(before, mark, body, after)).alias("s"))
     return rows.select("k", "s.summary", "s.note")
 
 
@@ -154,5 +154,5 @@ def law_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of laws as lines, each with the device that owns it."""
     page = F.lit("<html><body>" + "".join(f"<p>{x}</p>" for x in _LAW) + "</body></html>")
     html = F.replace(page, F.lit("{k}"), F.col("o_orderkey").cast("string"))
-    rows = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("law"), laws.law_paragraphs(html, F.lit("LEI DAS COISAS")).alias("p"))
+    rows = spread(t(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("law"), laws.law_paragraphs(html, F.lit("LEI DAS COISAS")).alias("p"))
     return laws.law_lines(rows, "law", "p").select("law", "device", "label", "text")

@@ -270,6 +270,6 @@ def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(head, field("PROCESSO", number), field("UF", "PR"), field("DATA DO JULGAMENTO", "05/03/2024"), field("DATA DA PUBLICAÇÃO", "31/02/2024"), field("RELATORA", "Ana"), *more, field("EMENTA", summary), F.lit("</div>"))
 
     html = F.concat(F.lit('<input type="hidden" id="hdnTotalResultado" value="3"><!-- <div class="resultadoItem"> -->'), card(0), card(1, field("RELATOR PARA ACÓRDÃO", "Rui")), card(0), F.lit("<div>fim</div>"))
-    rows = t(spark, sf_dir, "orders").select(k.alias("page"), html.alias("html"))
+    rows = spread(t(spark, sf_dir, "orders")).select(k.alias("page"), html.alias("html"))
     out = answers.cards(rows, "page", "html", "TRF4", "trf4\\.jus\\.br")
     return out.select("page", "id", "number", "class", "day", "rapporteur", "summary", "n_repeated")
